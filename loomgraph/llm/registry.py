@@ -12,6 +12,7 @@ MODULES = {
     "op7_mixing": "mixing",
     "op9_packing": "packing",
     "op2_chat": "chat",
+    "op10_neardup": "neardup",
 }
 
 
