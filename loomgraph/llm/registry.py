@@ -13,6 +13,7 @@ MODULES = {
     "op9_packing": "packing",
     "op2_chat": "chat",
     "op10_neardup": "neardup",
+    "op5_lines": "linededup",
 }
 
 
