@@ -89,24 +89,24 @@ def slices(offsets: np.ndarray, size: int = 1 << 21):
         lo = min(hi, n)
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, its row), in order; A-Z are lower-cased first."""
-    base = offsets[0]
-    part, at = data[base : offsets[-1]], (offsets - base)
-    if not len(part):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def word_bounds(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, byte behind the last) of each word; at: offsets of the rows in part."""
     ink = ~_SPACE[part]
     edge = np.zeros(len(part) + 1, bool)
     edge[at] = True
     first, last = ink.copy(), ink.copy()
     first[1:] &= ~ink[:-1] | edge[1:-1]
     last[:-1] &= ~ink[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, its row), in order; A-Z are lower-cased first."""
+    part, at = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    if not len(part):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    starts, ends = word_bounds(part, at)
     up, down = _powers(len(part))
     sums = np.zeros(len(part) + 1, np.uint64)
     np.cumsum((_BYTE_CODES_LOWER if lower else _BYTE_CODES)[part] * up[: len(part)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), np.searchsorted(at, starts, "right") - 1
-
-
-def binary_array(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary())

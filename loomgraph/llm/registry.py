@@ -14,6 +14,7 @@ MODULES = {
     "op2_chat": "chat",
     "op10_neardup": "neardup",
     "op5_lines": "linededup",
+    "op8_quality": "quality",
 }
 
 
