@@ -80,7 +80,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def slices(offsets: np.ndarray, size: int = 1 << 21):
+def slices(offsets: np.ndarray, size: int = 1 << 18):
     """Ranges of rows of about that many bytes; a longer row stands alone, whole."""
     lo, n = 0, len(offsets) - 1
     while lo < n:

@@ -15,6 +15,7 @@ MODULES = {
     "op10_neardup": "neardup",
     "op5_lines": "linededup",
     "op8_quality": "quality",
+    "op1_forest": "forest",
 }
 
 
