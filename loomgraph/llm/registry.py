@@ -16,6 +16,8 @@ MODULES = {
     "op5_lines": "linededup",
     "op8_quality": "quality",
     "op1_forest": "forest",
+    "op3_tokens": "tokencount",
+    "op4_audio": "audio",
 }
 
 
