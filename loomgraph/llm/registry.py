@@ -18,6 +18,7 @@ MODULES = {
     "op1_forest": "forest",
     "op3_tokens": "tokencount",
     "op4_audio": "audio",
+    "op6_katz": "katz",
 }
 
 
