@@ -8,11 +8,13 @@ registers use one hash function per register instead, where none can be empty; s
 Registers are banded by four.  Documents of equal bands are candidates; the collision-corrected Jaccard estimate
 drops those more than six standard deviations below the threshold, and the rest are confirmed on their full sets.
 
-Scale and skew: texts that have the same set are one class from the start.  A band shared by many classes is not
-expanded into pairs.  First every class is confirmed against one centre of its band, the class with the most
-company; only classes that are still in another component than the largest of their band are then compared with
-all the rest of that band, in blocks.  So every link of candidates is either confirmed, refuted, or joins classes
-that are connected already.  Components come from label propagation on tables; nothing is collected.
+Scale and skew: texts that have the same set are one class from the start.  No step writes all pairs of a group.
+Classes of a band are first compared by their sketches with one centre, the class with the most company; those
+still apart visit the band's other members in blocks, and only estimates that join two groups are written.  The
+clusters that come of it hold every likely link.  Within a cluster the full sets are compared by an inverted index
+of shingles, in blocks too, and only the links that join two components are written.  In a cluster larger than a
+block, what its centre confirms is settled before.  So each candidate is confirmed, refuted, or joins what is
+connected already.  Components come from label propagation on tables; nothing is collected.
 """
 
 from __future__ import annotations
@@ -164,8 +166,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     The partners of one a are dealt into blocks of about 64, each with its own copy of a's text.
     """
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")).withColumnRenamed("a", "of")
-    dealt = pairs.join(sizes, pairs["a"] == F.col("of")).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / 64)).alias("block"))
-    sides = dealt.select("a", "block", F.col("b").alias("doc_id")).unionByName(dealt.select("a", "block", F.col("a").alias("doc_id")).distinct())
+    spread = pairs.join(sizes, pairs["a"] == F.col("of")).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / 64)).alias("block"))
+    sides = spread.select("a", "block", F.col("b").alias("doc_id")).unionByName(spread.select("a", "block", F.col("a").alias("doc_id")).distinct())
     rows = sides.join(texts, "doc_id").select("a", "block", "doc_id", "text")
 
     def compare(group: pa.Table) -> pa.Table:
@@ -232,35 +234,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     keyed = classes.select("cid", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = common.settled(keyed.join(shared, "key").select("key", "cid", "size"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(members.select(F.col("cid").alias("doc_id")).distinct(), "doc_id")
-    texts = common.settled(texts.dropDuplicates(["doc_id"]))
-
     company = members.groupBy("cid").agg(F.sum(F.col("size") - 1).alias("company"))
-    ranked = members.join(company, "cid")
-    centres = ranked.groupBy("key").agg(F.max(F.struct("company", (-F.col("cid")).alias("c"))).alias("top")).select("key", (-F.col("top.c")).alias("a"))
-    pairs = members.join(centres, "key").where("cid <> a").select("a", F.col("cid").alias("b")).distinct()
-    tried = common.settled(estimated(pairs, classes, least))
-    links = common.settled(confirmed(tried, texts, percent))
-    labels = components(links)
-    for last in (False, True):
-        named = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        per = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.min_by("cid", F.xxhash64("cid")).alias("one"))
-        top = per.groupBy("key").agg(F.max_by(F.struct("label", "one"), F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("top.label").alias("main"), F.col("top.one").alias("one"))
-        open_ = common.settled(named.join(top, "key"))
-        if open_.isEmpty():
-            break
-        if not last:
-            pairs = open_.where("label <> main").select(F.col("one").alias("a"), F.col("cid").alias("b")).distinct()
-        else:
-            pairs = across(open_, classes, least, block)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = pairs.join(done, ["a", "b"], "left_anti")
-        tried_now = common.settled(more if last else estimated(more, classes, least))
-        found = confirmed(tried_now, texts, percent)
-        tried = tried.unionByName(tried_now)
-        links = common.settled(links.unionByName(found))
-        labels = components(links)
+    centres = members.join(company, "cid").groupBy("key").agg(F.max(F.struct("company", (-F.col("cid")).alias("c"))).alias("top")).select("key", (-F.col("top.c")).alias("a"))
+    near = common.settled(estimated(members.join(centres, "key").where("cid <> a").select("a", F.col("cid").alias("b")).distinct(), classes, least))
+    clusters = components(near)
+    apart = split_members(members, clusters, "key")
+    likely = common.settled(near.unionByName(common.settled(across(apart, classes, least, block))))
+    clusters = common.settled(components(likely).select(F.col("node").alias("cid"), F.col("label").alias("key")))
+    sizes = clusters.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    clusters = common.settled(clusters.join(sizes, "key"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(clusters.select(F.col("cid").alias("doc_id")), "doc_id")
+    texts = common.settled(texts.dropDuplicates(["doc_id"]))
+    large = clusters.where(F.col("size") > block).select(F.col("cid").alias("a"))
+    central = near.join(large, "a", "left_semi")
+    sure = common.settled(confirmed(central, texts, percent))
+    open_ = split_members(clusters, components(sure), "key")
+    labels = components(sure.unionByName(resolved(open_, texts, percent, block)))
     named = classes.where("copies > 1").select(F.col("n").alias("n_"), F.col("d1").alias("d1_"), F.col("d2").alias("d2_"), "cid")
     out = sk.select("doc_id", "n", "d1", "d2").join(named, (F.col("n") == F.col("n_")) & (F.col("d1") == F.col("d1_")) & (F.col("d2") == F.col("d2_")), "left")
     out = out.withColumn("node", F.coalesce("cid", "doc_id")).join(labels, "node", "left")
@@ -268,35 +257,91 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
 
 
-def across(open_: DataFrame, classes: DataFrame, least: float, block: int) -> DataFrame:
-    """Likely pairs (a, b) of different components in one band; a is outside the band's largest component.
+def split_members(members: DataFrame, labels: DataFrame, by: str) -> DataFrame:
+    """members (by, cid, size) of the groups that labels leave in several parts, with label and main, the label of
+    the largest part (of equal ones the largest label); a member without a label is a part of its own."""
+    named = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    per = named.groupBy(by, "label").agg(F.count(F.lit(1)).alias("k"))
+    top = per.groupBy(by).agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select(by, "main")
+    return common.settled(named.join(top, by))
 
-    The band's members are dealt into blocks; those outside the largest component visit each block.
-    """
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    rows = open_.join(classes.select("cid", "n", "small", "large"), "cid").withColumn("blocks", blocks)
+
+def dealt(open_: DataFrame, block: int) -> DataFrame:
+    """Members held by the blocks of their group, and those outside its main part once per block, asking."""
+    rows = open_.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     held = rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False))
     asks = rows.where("label <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-    both = held.unionByName(asks).select("key", "block", "cid", "label", "n", "small", "large", "asks")
+    return held.unionByName(asks).drop("blocks", "size", "main")
+
+
+class Joined:
+    """Union-find over labels; join() tells whether two were apart."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[x] = y
+        return x != y
+
+
+def across(open_: DataFrame, classes: DataFrame, least: float, block: int) -> DataFrame:
+    """Pairs (a, b) of members of one group whose estimates join its parts, no more than it takes in a block."""
+    rows = dealt(open_, block).join(classes.select("cid", "n", "small", "large"), "cid").select("key", "block", "cid", "label", "n", "small", "large", "asks")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found, parts = [], Joined()
         for kind, name in enumerate(("small", "large")):
             mine = group[group[name].notna()]
-            asking, held_ = mine[mine.asks], mine[~mine.asks]
-            if not len(asking) or not len(held_):
+            asking, held = mine[mine.asks], mine[~mine.asks]
+            if not len(asking) or not len(held):
                 continue
-            regs = np.frombuffer(b"".join(held_[name]), np.uint16).reshape(-1, REGISTERS)
-            n, label, cid = held_.n.to_numpy(), held_.label.to_numpy(), held_.cid.to_numpy()
+            regs = np.frombuffer(b"".join(held[name]), np.uint16).reshape(-1, REGISTERS)
+            n, label, cid = held.n.to_numpy(), held.label.to_numpy(), held.cid.to_numpy()
             for x in asking.itertuples():
                 other = np.flatnonzero((label != x.label) & (np.minimum(n, x.n) >= least * np.maximum(n, x.n)))
                 if len(other):
                     own = np.frombuffer(getattr(x, name), np.uint16)
-                    good = estimate(regs[other], own[None, :], n[other], np.full(len(other), x.n), kind) >= least
-                    found.append(pd.DataFrame({"a": x.cid, "b": cid[other[good]]}))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}).astype("int64")
+                    good = other[estimate(regs[other], own[None, :], n[other], np.full(len(other), x.n), kind) >= least]
+                    found += [(x.cid, cid[j]) for j in good if parts.join(x.label, label[j])]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return both.groupBy("key", "block").applyInPandas(compare, "a long, b long")
+    return rows.groupBy("key", "block").applyInPandas(compare, "a long, b long")
+
+
+def resolved(open_: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) of members of one group, on full sets, that join its parts, no more than it takes in a block."""
+    rows = dealt(open_, block).join(texts.withColumnRenamed("doc_id", "cid"), "cid").select("key", "block", "cid", "label", "text", "asks")
+
+    def compare(group: pa.Table) -> pa.Table:
+        asks = np.array(group.column("asks").to_pylist(), bool)
+        cid, label = (group.column(c).to_numpy() for c in ("cid", "label"))
+        data, offsets = common.utf8(group.column("text"))
+        held, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
+        sets = {int(cid[i]): shingles(data, offsets[i : i + 2])[0] for i in [*held, *asking]}
+        n = np.array([len(sets[int(c)]) for c in cid[held]], np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint64), *(sets[int(c)] for c in cid[held])])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], np.repeat(np.arange(len(held)), n)[order]
+        found, parts = [], Joined()
+        for i in asking:
+            own = sets[int(cid[i])]
+            low, high = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
+            runs = high - low
+            spots = np.arange(runs.sum()) + np.repeat(low - (np.cumsum(runs) - runs), runs)
+            both = np.bincount(owner[spots], minlength=len(held))
+            for j in np.flatnonzero((100 * both >= percent * (n + len(own) - both)) & (label[held] != label[i])):
+                if parts.join(int(label[i]), int(label[held[j]])):
+                    found.append((int(cid[i]), int(cid[held[j]])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return rows.groupBy("key", "block").applyInArrow(compare, "a long, b long")
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
