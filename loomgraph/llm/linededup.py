@@ -19,6 +19,7 @@ doc_id, spares the other documents the shuffle, and where it fills up more docum
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,20 +47,25 @@ class Lines:
         self.number = np.arange(len(starts)) - firsts[self.row] if len(starts) else starts
         ends = np.concatenate([starts[1:], [size]]) if len(starts) else starts
         ink = _INK[part] if size else np.zeros(0, bool)
-        seen = np.concatenate([[0], np.cumsum(ink)])
-        line_of = np.searchsorted(starts, np.arange(size), "right") - 1 if size else np.zeros(0, np.int64)
+        seen = np.zeros(size + 1, np.int32)
+        np.cumsum(ink, out=seen[1:], dtype=np.int32)
         space = np.zeros(size, bool)
         if size > 1:
-            space[:-1] = ~ink[:-1] & ink[1:] & (line_of[:-1] == line_of[1:]) & (seen[:-2] > seen[starts[line_of[:-1]]])
+            gaps = np.flatnonzero(~ink[:-1] & ink[1:])  # the last space before an ink byte stays, but for a line's first
+            line_of = np.searchsorted(starts, gaps + 1, "right") - 1
+            space[gaps[(starts[line_of] <= gaps) & (seen[gaps] > seen[starts[line_of]])]] = True
         keep = ink | space
         self.bytes = np.where(space, np.uint8(32), common._LOWER[part])[keep] if size else part
-        kept = np.concatenate([[0], np.cumsum(keep)])
-        self.start, self.end = kept[starts], kept[ends]
+        kept = np.zeros(size + 1, np.int32)
+        np.cumsum(keep, out=kept[1:], dtype=np.int32)
+        self.start, self.end = kept[starts].astype(np.int64), kept[ends].astype(np.int64)
         n = len(self.bytes)
         first = (self.bytes & 0xC0) != 0x80
         self.char_at = np.concatenate([np.flatnonzero(first), [n]])
-        chars = np.concatenate([[0], np.cumsum(first)])
-        self.first_char, self.chars = chars[self.start], chars[self.end] - chars[self.start]
+        chars = np.zeros(n + 1, np.int32)
+        np.cumsum(first, out=chars[1:], dtype=np.int32)
+        self.first_char = chars[self.start].astype(np.int64)
+        self.chars = chars[self.end].astype(np.int64) - self.first_char
         up, self.down = common._powers(n + 1)
         self.sums = []
         for codes in (common._BYTE_CODES, _CODES2):
@@ -93,15 +99,15 @@ class Lines:
         return np.stack(out, 1).view(np.int64) if len(self.chars) else np.zeros((0, 2 * BLOCKS), np.int64)
 
 
-def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
+def line_rows(docs: DataFrame, min_chars: int, keyed: bool = True) -> DataFrame:
     def found(batches):
         for batch in batches:
             data, offsets = common.utf8(batch.column(1))
             for lo, hi in common.slices(offsets):
                 x = Lines(data, offsets[lo : hi + 1])
                 long = np.flatnonzero(x.chars >= min_chars)
-                keys = x.block_keys()[long]
-                lists = pa.ListArray.from_arrays(np.arange(len(long) + 1, dtype=np.int32) * (2 * BLOCKS), pa.array(keys.reshape(-1)))
+                keys = x.block_keys()[long] if keyed else np.zeros((len(long), 0), np.int64)
+                lists = pa.ListArray.from_arrays(np.arange(len(long) + 1, dtype=np.int32) * keys.shape[1], pa.array(keys.reshape(-1)))
                 doc = batch.column(0).slice(lo, hi - lo).take(pa.array(x.row[long]))
                 yield pa.record_batch([doc, pa.array(x.number[long].astype(np.int32)), pa.array(x.whole(0)[long].view(np.int64)), pa.array(x.whole(1)[long].view(np.int64)), lists], names=["doc_id", "line", "h1", "h2", "keys"])
 
@@ -121,14 +127,12 @@ def split_by(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs with a boolean _hit: false only where doc_id is not among ids."""
     words = docs.sparkSession.sparkContext.broadcast(bloom(ids))
 
-    def hits(batches):
-        for batch in batches:
-            spot = batch.column("_spot").to_numpy(zero_copy_only=False)
-            hit = (words.value[spot >> 6] >> (spot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-            yield pa.record_batch([*batch.columns[:-1], pa.array(hit)], names=[*batch.schema.names[:-1], "_hit"])
+    @F.pandas_udf("boolean")
+    def hits(spot: pd.Series) -> pd.Series:
+        spot = spot.to_numpy()
+        return pd.Series((words.value[spot >> 6] >> (spot & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("_spot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << BLOOM_BITS))).mapInArrow(hits, f"{schema}, _hit boolean")
+    return docs.withColumn("_hit", hits(F.pmod(F.xxhash64("doc_id"), F.lit(1 << BLOOM_BITS))))
 
 
 def chosen_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -206,7 +210,7 @@ def dropped_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     wanted = common.settled(marked.select("doc_id", "line", (F.col("low") + F.col("high") * (1 << BLOCKS)).cast("int").alias("blocks")))
     near = earlier_neighbours(common.settled(chosen_lines(docs, wanted)))
     repeats = first.where("n > 1").select(F.col("h1").alias("h1_"), F.col("h2").alias("h2_"), "first")
-    again = rows.select("doc_id", "line", "h1", "h2").join(repeats, (F.col("h1") == F.col("h1_")) & (F.col("h2") == F.col("h2_")))
+    again = line_rows(docs, min_chars, keyed=False).select("doc_id", "line", "h1", "h2").join(repeats, (F.col("h1") == F.col("h1_")) & (F.col("h2") == F.col("h2_")))
     near = common.settled(near)
     copies = again.join(near.select(F.struct("doc_id", "line").alias("first"), F.lit(True).alias("near")), "first", "left")
     copies = copies.where((F.struct("doc_id", "line") != F.col("first")) | F.col("near")).select("doc_id", "line")
@@ -231,7 +235,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 16, id_col: str = "doc_id", te
     lines = F.split("text", "\n", -1)
     flags = F.map_from_entries(F.transform("drops", lambda i: F.struct(i.alias("k"), F.lit(True).alias("v"))))
     kept = F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: F.element_at(F.col("flags"), i).isNull()), "\n"))
-    out = out.withColumn("flags", flags).select("rest", kept.alias("text"), F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)), F.lit(0)).alias("n_lines"), F.coalesce(F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")), F.lit(0)).alias("n_dropped"))
+    out = out.withColumn("flags", flags).select("rest", kept.alias("text"), F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).alias("n_lines"), F.coalesce(F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")), F.lit(0)).alias("n_dropped"))
     return out.select(*[F.col("text").alias(text_col) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in columns], F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"))
 
 
