@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -33,6 +34,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(df: DataFrame) -> DataFrame:
+    """df, after Spark has been told to look for shuffle files that nothing refers to any more, to free their disk."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 # ---------------------------------------------------------------- words of Arrow text, without Python strings
 
 _SEED = np.random.default_rng(20240607)

@@ -35,18 +35,23 @@ TOP = 5  # the highest count that is discounted
 BLOCK_TOKENS = 2_000_000
 HOT = 10_000
 END = np.uint64(0x1D8E4E27C47D124F)
-ROW = "kind int, block long, bucket int, a binary, b binary, c binary, d binary, stats array<long>"
+ROW = "kind int, block long, bucket int, a binary, b binary, c binary, d binary, stats array<long>, e binary"
 DOCS, WORDS, NUMBERS, STATS, PAIRS, HOT_PAIRS, TOTALS, HOT_SUMS = range(8)
-_NAMES = ["kind", "block", "bucket", "a", "b", "c", "d", "stats"]
-_TYPES = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int64())]
+_NAMES = ["kind", "block", "bucket", "a", "b", "c", "d", "stats", "e"]
+_TYPES = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.binary()]
 
 
-def squeeze(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+def squeeze(x: np.ndarray, steps: bool = False) -> bytes:
+    """An array, or the steps between its values, by bytes of equal weight, compressed."""
+    x = np.ascontiguousarray(np.diff(x, prepend=x.dtype.type(0)) if steps else x)
+    planes = x.view(np.uint8).reshape(-1, x.itemsize).T if len(x) else np.zeros(0, np.uint8)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def expand(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+def expand(x: bytes, kind, steps: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    out = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(out, dtype=kind) if steps else out
 
 
 def stats_row(*stats: int) -> tuple:
@@ -133,7 +138,7 @@ def cut(docs: DataFrame, buckets: int) -> DataFrame:
             bucket = (vocabulary % np.uint64(buckets)).astype(np.int64)
             by, out = np.argsort(bucket, kind="stable"), [(DOCS, number, -1, squeeze(ids), squeeze(flags), squeeze(counts.astype(np.int64)), squeeze(word))]
             for b, own in zip(*grouped(bucket[by], by)):
-                out.append((WORDS, number, int(b), squeeze(vocabulary[own]), squeeze(trained[own]), squeeze(own.astype(np.uint32))))
+                out.append((WORDS, number, int(b), squeeze(vocabulary[own]), squeeze(trained[own]), squeeze(own.astype(np.uint32), True)))
             return pa.record_batch(rows_of(out), names=_NAMES)
 
         for batch in batches:
@@ -191,7 +196,7 @@ class Block:
         number, self.c, alone = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
         for r in rows:
             if r["kind"] == NUMBERS:
-                own = expand(r["a"], np.uint32)
+                own = expand(r["a"], np.uint32, True)
                 number[own], self.c[own], alone[own] = expand(r["b"], np.int64), expand(r["c"], np.int64), expand(r["d"], bool)
         self.word, self.row = word, np.repeat(np.arange(len(self.counts)), self.counts)
         trains = (self.flags[self.row] & 1).astype(bool)
@@ -211,7 +216,11 @@ class Block:
         self.number = number
 
     def asks(self, block: int) -> list[tuple]:
-        out = [(kind, block, bucket, squeeze(self.number[self.h[own]]), squeeze(self.number[self.w[own]]), squeeze(self.local[own].astype(np.uint32)), squeeze(self.c[self.w[own]])) for (bucket, kind), own in self.sent.items()]
+        out = []
+        for (bucket, kind), own in self.sent.items():
+            words, at = np.unique(self.w[own], return_inverse=True)
+            followers = squeeze(self.number[words], True), squeeze(self.c[words]), squeeze(at.astype(np.uint32))
+            out.append((kind, block, bucket, squeeze(self.number[self.h[own]], True), squeeze(self.local[own].astype(np.uint32)), *followers[:2], None, followers[2]))
         private = self.local[self.own[self.h]]
         return [*out, stats_row(0, 0, *seen_times(private))]
 
@@ -226,7 +235,11 @@ def sums(h: np.ndarray, c: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
 def total_pairs(group: pa.Table, unigrams: Unigrams) -> pa.Table:
     """Counts of a bucket's bigrams over all blocks and the sums of its histories, answered to each block."""
     rows = group.to_pylist()
-    h, w, c, cw = (np.concatenate([expand(r[k], t) for r in rows]) for k, t in (("a", np.int64), ("b", np.int64), ("c", np.uint32), ("d", np.int64)))
+    heads_of = [expand(r["a"], np.int64, True) for r in rows]
+    at_of = [expand(r["e"], np.uint32) for r in rows]
+    h, c = np.concatenate(heads_of), np.concatenate([expand(r["b"], np.uint32) for r in rows])
+    w = np.concatenate([expand(r["c"], np.int64, True)[at] for r, at in zip(rows, at_of)])
+    cw = np.concatenate([expand(r["d"], np.int64)[at] for r, at in zip(rows, at_of)])
     histories, hi = np.unique(h, return_inverse=True)
     _, wi = np.unique(w, return_inverse=True)
     keys, first, of = np.unique(hi.astype(np.uint64) << np.uint64(32) | wi.astype(np.uint64), return_index=True, return_inverse=True)
@@ -234,18 +247,17 @@ def total_pairs(group: pa.Table, unigrams: Unigrams) -> pa.Table:
     table = sums(hi[first], total, unigrams.p(cw[first]), len(histories))
     hot = np.zeros(len(histories), bool)
     out, at = [stats_row(0, 0, *seen_times(total))], 0
-    for r in rows:
-        n = len(expand(r["a"], np.int64))
+    for r, n in zip(rows, map(len, heads_of)):
         own, mine = of[at : at + n], hi[at : at + n]
         if r["kind"] == HOT_PAIRS:
             hot[mine] = True
             out.append((TOTALS, r["block"], r["bucket"] * 2 + 1, squeeze(total[own].astype(np.uint32))))
         else:
             heads = mine[np.r_[True, mine[1:] != mine[:-1]]]
-            out.append((TOTALS, r["block"], r["bucket"] * 2, squeeze(total[own].astype(np.uint32)), squeeze(table[heads, : TOP + 1].T.astype(np.int64)), squeeze(table[heads, TOP + 1])))
+            out.append((TOTALS, r["block"], r["bucket"] * 2, squeeze(total[own].astype(np.uint32)), squeeze(table[heads, : TOP + 1].T.astype(np.int64).ravel()), squeeze(table[heads, TOP + 1])))
         at += n
     if hot.any():
-        out.append((HOT_SUMS, -1, -1, squeeze(histories[hot]), squeeze(table[hot])))
+        out.append((HOT_SUMS, -1, -1, squeeze(histories[hot]), squeeze(table[hot].ravel())))
     return pa.table(rows_of(out), names=_NAMES)
 
 
@@ -294,7 +306,7 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
     buckets = buckets or max(12, int(size) >> 25)
     cutted = common.settled(cut(own, buckets))
     words = cutted.where(F.col("kind") == WORDS).groupBy("bucket").applyInArrow(lambda g: number_words(g, buckets), ROW)
-    words = common.settled(words)
+    words = common.released(common.settled(words))
     unigrams = Unigrams.fitted(total_stats(words))
     known = cutted.where(F.col("kind") == DOCS).unionByName(words.where(F.col("kind") == NUMBERS))
 
@@ -302,7 +314,8 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
         rows = group.to_pylist()
         return pa.table(rows_of(Block(rows, unigrams.tokens, buckets).asks(rows[0]["block"])), names=_NAMES)
 
-    asked = known.groupBy("block").applyInArrow(ask, ROW).withColumn("deal", F.when(F.col("kind") == STATS, F.col("block")).otherwise(F.col("bucket").cast("long")))
+    def asked() -> DataFrame:
+        return known.groupBy("block").applyInArrow(ask, ROW).withColumn("deal", F.when(F.col("kind") == STATS, F.col("block")).otherwise(F.col("bucket").cast("long")))
 
     def answer(group: pa.Table) -> pa.Table:
         group = group.drop_columns(["deal"])
@@ -310,7 +323,7 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
             return group
         return total_pairs(group, unigrams)
 
-    answers = common.settled(asked.groupBy("deal").applyInArrow(answer, ROW))
+    answers = common.released(common.settled(asked().groupBy("deal").applyInArrow(answer, ROW)))
     pairs = Discounts.fitted(np.r_[0, total_stats(answers)[2 : TOP + 3]].astype(float))
     found = answers.where(F.col("kind") == HOT_SUMS).select("a", "b").toPandas()  # at most HOT histories a bucket's share
     hot_h = np.concatenate([np.zeros(0, np.int64), *(expand(a, np.int64) for a in found["a"])])
