@@ -9,8 +9,8 @@ Registers are banded by four.  Documents of equal bands are candidates; the coll
 drops those more than six standard deviations below the threshold, and the rest are confirmed on their full sets.
 
 Scale and skew: texts that have the same set are one class from the start.  No step writes all pairs of a group.
-Classes of a band are first compared by their sketches with one centre, the class with the most company; those
-still apart visit the band's other members in blocks, and only estimates that join two groups are written.  The
+Each class is first compared by its sketch with one centre, of its bands' members that with the most company; those
+of a band that are still apart visit the band's other members in blocks, and only estimates that join two groups are written.  The
 clusters that come of it hold every likely link.  Within a cluster the full sets are compared by an inverted index
 of shingles, in blocks too, and only the links that join two components are written.  In a cluster larger than a
 block, what its centre confirms is settled before.  So each candidate is confirmed, refuted, or joins what is
@@ -236,7 +236,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     members = common.settled(keyed.join(shared, "key").select("key", "cid", "size"))
     company = members.groupBy("cid").agg(F.sum(F.col("size") - 1).alias("company"))
     centres = members.join(company, "cid").groupBy("key").agg(F.max(F.struct("company", (-F.col("cid")).alias("c"))).alias("top")).select("key", (-F.col("top.c")).alias("a"))
-    near = common.settled(estimated(members.join(centres, "key").where("cid <> a").select("a", F.col("cid").alias("b")).distinct(), classes, least))
+    central = members.join(centres, "key").where("cid <> a").join(company.select(F.col("cid").alias("a"), "company"), "a")
+    pairs = central.groupBy(F.col("cid").alias("b")).agg((-F.max(F.struct("company", (-F.col("a")).alias("c")))["c"]).alias("a"))
+    near = common.settled(estimated(pairs.select("a", "b"), classes, least))
     clusters = components(near)
     apart = split_members(members, clusters, "key")
     likely = common.settled(near.unionByName(common.settled(across(apart, classes, least, block))))
