@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ def settled(df: DataFrame) -> DataFrame:
 
 def released(df: DataFrame) -> DataFrame:
     """df, after Spark has been told to look for shuffle files that nothing refers to any more, to free their disk."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the driver learns a moment later that Python let go of them
+        gc.collect()
+        time.sleep(0.7)
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df
 
 

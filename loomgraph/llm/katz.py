@@ -305,8 +305,7 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = buckets or max(12, int(size) >> 25)
     cutted = common.settled(cut(own, buckets))
-    words = cutted.where(F.col("kind") == WORDS).groupBy("bucket").applyInArrow(lambda g: number_words(g, buckets), ROW)
-    words = common.released(common.settled(words))
+    words = common.settled(cutted.where(F.col("kind") == WORDS).groupBy("bucket").applyInArrow(lambda g: number_words(g, buckets), ROW))
     unigrams = Unigrams.fitted(total_stats(words))
     known = cutted.where(F.col("kind") == DOCS).unionByName(words.where(F.col("kind") == NUMBERS))
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCKS = 4
-BLOOM_BITS = 27
+BLOOM_BITS = 25
 _SALTS = np.random.default_rng(5).integers(1, 2**63, (2, 2 * BLOCKS + 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _INK = ~common._SPACE
 _CODES2 = np.random.default_rng(6).integers(1, 2**64, 256, dtype=np.uint64)

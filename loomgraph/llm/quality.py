@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MOST_LABELS = 20_000
-PAIRS = 40_000
+MOST_LABELS = 8_000
+PAIRS = 12_000
 BINS = 10
 THRESHOLD = 0.7
 
