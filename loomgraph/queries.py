@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from loomgraph.plans import base, history, search, structure, words  # noqa: F401  they register their queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLES)
