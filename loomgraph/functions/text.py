@@ -174,7 +174,7 @@ def is_docstring(text: Column) -> Column:
 
 def upto_docstring(raw: Column, docstring: Column) -> Column:
     """raw up to and with its docstring; null without one."""
-    return F.when((F.length(docstring) > 0) & raw.contains(docstring), F.concat(F.substring_index(raw, docstring, 1), docstring))
+    return F.when((F.length(docstring) > 0) & raw.contains(docstring), F.substring(raw, F.lit(1), F.position(docstring, raw) + F.length(docstring) - 1))
 
 
 def without_prompts(text: Column, prompts: list[str]) -> Column:
