@@ -239,18 +239,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     central = members.join(centres, "key").where("cid <> a").join(company.select(F.col("cid").alias("a"), "company"), "a")
     pairs = central.groupBy(F.col("cid").alias("b")).agg((-F.max(F.struct("company", (-F.col("a")).alias("c")))["c"]).alias("a"))
     near = common.settled(estimated(pairs.select("a", "b"), classes, least))
-    clusters = components(near)
-    apart = split_members(members, clusters, "key")
-    likely = common.settled(near.unionByName(common.settled(across(apart, classes, least, block))))
+    by_centre = lambda pairs: pairs.select(F.col("b").alias("node"), F.col("a").alias("label"))  # noqa: E731  each has one centre
+    apart = common.released(split_members(members, by_centre(near), "key"))
+    likely = common.settled(near.unionByName(across(apart, classes, least, block)))
     clusters = common.settled(components(likely).select(F.col("node").alias("cid"), F.col("label").alias("key")))
     sizes = clusters.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    clusters = common.settled(clusters.join(sizes, "key"))
+    clusters = common.released(common.settled(clusters.join(sizes, "key")))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(clusters.select(F.col("cid").alias("doc_id")), "doc_id")
     texts = common.settled(texts.dropDuplicates(["doc_id"]))
     large = clusters.where(F.col("size") > block).select(F.col("cid").alias("a"))
     central = near.join(large, "a", "left_semi")
     sure = common.settled(confirmed(central, texts, percent))
-    open_ = split_members(clusters, components(sure), "key")
+    open_ = common.released(split_members(clusters, by_centre(sure), "key"))
     labels = components(sure.unionByName(resolved(open_, texts, percent, block)))
     named = classes.where("copies > 1").select(F.col("n").alias("n_"), F.col("d1").alias("d1_"), F.col("d2").alias("d2_"), "cid")
     out = sk.select("doc_id", "n", "d1", "d2").join(named, (F.col("n") == F.col("n_")) & (F.col("d1") == F.col("d1_")) & (F.col("d2") == F.col("d2_")), "left")
