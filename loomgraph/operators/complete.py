@@ -81,12 +81,12 @@ def substring(longer: Column, shorter: Column) -> Column:
     return (F.length(shorter) >= 4) & (F.length(shorter) / F.length(longer) >= 0.3) & longer.contains(shorter)
 
 
-def extracted(texts: DataFrame, words: DataFrame, mapped: DataFrame | None = None, threshold: float = 0.6, case_sensitive: bool = False, dotted: bool = False, per_token: int | None = None) -> DataFrame:
+def extracted(texts: DataFrame, words: DataFrame, mapped: DataFrame | None = None, threshold: float = 0.6, case_sensitive: bool = False, dotted: bool = False, per_word: int | None = None) -> DataFrame:
     """(text_id, word, token, match_type, score): words found in texts (text_id, text).
 
     Exact matches (mapped: alias, word stand for words) first; then substrings and subpaths, then similar words, each
-    the best pair first with every word and token used once: that is a sequential choice, made per text.  per_token
-    keeps so many words a token: exact before substring before fuzzy, then by score.  words are broadcast: a
+    the best pair first with every word and token used once: that is a sequential choice, made per text.  per_word
+    keeps so many matches a word: exact before substring before fuzzy, then by score.  words are broadcast: a
     vocabulary, not a corpus.
     """
     fold = (lambda c: c) if case_sensitive else F.lower
@@ -123,8 +123,8 @@ def extracted(texts: DataFrame, words: DataFrame, mapped: DataFrame | None = Non
 
     chosen = pairs.select("text_id", "word", "token", "pos", "place", "kind", "cover", "ratio").groupBy("text_id").applyInPandas(choose, "text_id long, word string, token string, match_type string, score double")
     found = exact.select("text_id", "word", "token", "match_type", "score").unionByName(chosen)
-    if per_token is None:
+    if per_word is None:
         return found
     rank = F.when(F.col("match_type") == "exact", 0).when(F.col("match_type") == "fuzzy", 2).otherwise(1)
-    order = Window.partitionBy("text_id", "token").orderBy(rank, F.col("score").desc(), "word")
-    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_token).drop("r")
+    order = Window.partitionBy("text_id", "word").orderBy(rank, F.col("score").desc(), "token")
+    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_word).drop("r")

@@ -55,5 +55,18 @@ def class_headers(elements: DataFrame) -> DataFrame:
     return c.join(a, "class_id", "left").select("class_id", F.when(has, F.col("docstring")).otherwise(F.col("raw")).alias("header"), F.when(has, F.concat_ws("\n", "docstring", "attributes")).otherwise(F.col("raw")).alias("slim_raw"))
 
 
+#: Where imports of packages outside belong.
+PACKAGES = "PACKAGES"
+
+
 def wrapped(content: Column, path: Column) -> Column:
-    return F.format_string("<FILE_START::%s>\n%s\n</FILE_END::%s>", path, content, path)
+    """Content between tags that name its file, or say that it is the imports of packages."""
+    plain = F.format_string("<FILE_START::%s>\n%s\n</FILE_END::%s>", path, content, path)
+    return F.when(path == PACKAGES, F.format_string("<PACKAGE_DEPENDENCIES_START>\n%s\n</PACKAGE_DEPENDENCIES_END>", content)).otherwise(plain)
+
+
+def with_packages(elements: DataFrame, imports: DataFrame) -> DataFrame:
+    """elements, and the imports that no element defines as elements of PACKAGES."""
+    known = elements.select("unique_id").distinct()
+    outside = imports.where("definition_id IS NULL").groupBy("unique_id").agg(F.min("raw").alias("raw"), F.min("name").alias("name")).join(known, "unique_id", "left_anti")
+    return elements.unionByName(outside.withColumn("kind", F.lit("import")).withColumn("file_path", F.lit(PACKAGES)).withColumn("ordinal", F.lit(0)), allowMissingColumns=True)

@@ -360,7 +360,7 @@ def extract_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all part names found in sentences about the parts, exactly, inside others, or nearly."""
     words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct().withColumn("pos", F.row_number().over(Window.orderBy("word")))
     texts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("text_id"), F.concat(F.lit("see "), F.upper("p_name"), F.lit("s and "), F.substring("p_name", 2, 40), F.lit("x")).alias("text"))
-    return C.extracted(texts, words, per_token=1)
+    return C.extracted(texts, words, per_word=1)
 
 
 # ---------------------------------------------------------------- changed files

@@ -27,7 +27,8 @@ def test_answers(spark, root):
     known = {r.unique_id for r in repo.known_ids().collect()}
     assert {"app.Node", "app.Node.grow", "app.make", "lib.base.Base.name", "app.py", "lib"} <= known
     text = repo.context("app.make", degree=1)
-    assert text.index("CONTEXT") < text.index("def grow") < text.index("TARGET") < text.index("def make")
+    assert text.index("[CONTEXT FILES") < text.index("def grow") < text.index("[TARGET FILE") < text.index("def make")
+    assert "<PACKAGE_DEPENDENCIES_START>\nimport os\n" in repo.context("app.Node.grow")
     assert "class Base" in repo.context("app.Node", degree=1)
     assert repo.context("app.make", degree=0).count("def ") == 1
     assert repo.context("lib/", "nothing.like.it") .startswith("<FILE_START::lib/base.py>")
