@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 TOP = 5  # the highest count that is discounted
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_500_000
 HOT = 10_000
 END = np.uint64(0x1D8E4E27C47D124F)
 ROW = "kind int, block long, bucket int, a binary, b binary, c binary, d binary, stats array<long>, e binary"
@@ -303,7 +303,7 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = buckets or max(12, int(size) >> 25)
+    buckets = buckets or max(12, int(size) >> 24)
     cutted = common.settled(cut(own, buckets))
     words = common.settled(cutted.where(F.col("kind") == WORDS).groupBy("bucket").applyInArrow(lambda g: number_words(g, buckets), ROW))
     unigrams = Unigrams.fitted(total_stats(words))
