@@ -30,6 +30,7 @@ BLOCKS = 4
 BLOOM_BITS = 25
 _SALTS = np.random.default_rng(5).integers(1, 2**63, (2, 2 * BLOCKS + 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _INK = ~common._SPACE
+_PLAIN = np.where(common._SPACE, np.uint8(32), common._LOWER)
 _CODES2 = np.random.default_rng(6).integers(1, 2**64, 256, dtype=np.uint64)
 
 
@@ -55,7 +56,7 @@ class Lines:
             line_of = np.searchsorted(starts, gaps + 1, "right") - 1
             space[gaps[(starts[line_of] <= gaps) & (seen[gaps] > seen[starts[line_of]])]] = True
         keep = ink | space
-        self.bytes = np.where(space, np.uint8(32), common._LOWER[part])[keep] if size else part
+        self.bytes = _PLAIN[part[keep]]
         kept = np.zeros(size + 1, np.int32)
         np.cumsum(keep, out=kept[1:], dtype=np.int32)
         self.start, self.end = kept[starts].astype(np.int64), kept[ends].astype(np.int64)
