@@ -56,10 +56,14 @@ class Lines:
             line_of = np.searchsorted(starts, gaps + 1, "right") - 1
             space[gaps[(starts[line_of] <= gaps) & (seen[gaps] > seen[starts[line_of]])]] = True
         keep = ink | space
-        self.bytes = _PLAIN[part[keep]]
-        kept = np.zeros(size + 1, np.int32)
-        np.cumsum(keep, out=kept[1:], dtype=np.int32)
-        self.start, self.end = kept[starts].astype(np.int64), kept[ends].astype(np.int64)
+        if np.count_nonzero(keep) + len(breaks) == size:  # nothing to squeeze out but the line ends, which no line has
+            self.bytes, self.start, self.end = _PLAIN[part], starts, ends.copy()
+            self.end[np.searchsorted(starts, breaks, "right") - 1] = breaks
+        else:
+            self.bytes = _PLAIN[part[keep]]
+            kept = np.zeros(size + 1, np.int32)
+            np.cumsum(keep, out=kept[1:], dtype=np.int32)
+            self.start, self.end = kept[starts].astype(np.int64), kept[ends].astype(np.int64)
         n = len(self.bytes)
         first = (self.bytes & 0xC0) != 0x80
         self.char_at = np.concatenate([np.flatnonzero(first), [n]])
