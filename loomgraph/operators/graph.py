@@ -27,8 +27,8 @@ def neighbourhood(ids: DataFrame, refs: DataFrame, degree: int = 1, cut_files: D
         steps = frontier.join(edges, "id").select(F.col("dst_id").alias("id"), "edge", F.concat("place", F.array("ordinal")).alias("place"))
         steps = steps.join(seen.select("id"), "id", "left_anti")
         frontier = steps.groupBy("id").agg(F.min("place").alias("place"), F.min_by("edge", F.when(F.col("edge").isNotNull(), F.col("place"))).alias("ref_type")).select("id", F.lit(depth).alias("depth"), "ref_type", "place")
-        if depth % 4 == 0:
-            frontier = frontier.checkpoint()
+        if depth % 4 == 0 and not refs.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+            frontier = frontier.checkpoint()  # else the plan grows with each level
         seen = seen.unionByName(frontier)
     return seen
 
