@@ -235,8 +235,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = common.settled(keyed.join(shared, "key").select("key", "cid", "size"))
     company = members.groupBy("cid").agg(F.sum(F.col("size") - 1).alias("company"))
-    centres = members.join(company, "cid").groupBy("key").agg(F.max(F.struct("company", (-F.col("cid")).alias("c"))).alias("top")).select("key", (-F.col("top.c")).alias("a"))
-    central = members.join(centres, "key").where("cid <> a").join(company.select(F.col("cid").alias("a"), "company"), "a")
+    centres = members.join(company, "cid").groupBy("key").agg(F.max(F.struct("company", (-F.col("cid")).alias("c"))).alias("top")).select("key", (-F.col("top.c")).alias("a"), F.col("top.company").alias("company"))
+    central = members.join(centres, "key").where("cid <> a")
     pairs = central.groupBy(F.col("cid").alias("b")).agg((-F.max(F.struct("company", (-F.col("a")).alias("c")))["c"]).alias("a"))
     near = common.settled(estimated(pairs.select("a", "b"), classes, least))
     by_centre = lambda pairs: pairs.select(F.col("b").alias("node"), F.col("a").alias("label"))  # noqa: E731  each has one centre
