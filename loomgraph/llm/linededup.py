@@ -1,8 +1,9 @@
 """Line deduplication by deletion neighbourhoods.
 
 Lines are compared after A-Z are lower-cased, white space is trimmed and its runs become one space.  A line of at
-least `min_chars` characters goes if an earlier line (by doc_id, then line number) equals it or is within one edit
-(insertion, deletion or substitution of a character) of it; the earliest stays.
+least `exact_chars` characters goes if an earlier line (by doc_id, then line number) equals it, and one of at least
+`min_chars` also if an earlier one as long as that is within one edit (insertion, deletion or substitution of a
+character) of it; the earliest stays.  A line without characters always stays.
 
 Deletion neighbourhood: a line emits every variant of itself with one character deleted, as a hashed key, and
 itself.  Two lines one substitution apart share a variant at the same position; a line one deletion away is itself
@@ -104,17 +105,22 @@ class Lines:
         return np.stack(out, 1).view(np.int64) if len(self.chars) else np.zeros((0, 2 * BLOCKS), np.int64)
 
 
-def line_rows(docs: DataFrame, min_chars: int, keyed: bool = True) -> DataFrame:
+def line_rows(docs: DataFrame, min_chars: int, exact_chars: int, keyed: bool = True) -> DataFrame:
+    """(doc_id, line, h1, h2, keys) of lines of at least exact_chars characters; keys: none under min_chars."""
+
     def found(batches):
         for batch in batches:
             data, offsets = common.utf8(batch.column(1))
             for lo, hi in common.slices(offsets):
                 x = Lines(data, offsets[lo : hi + 1])
-                long = np.flatnonzero(x.chars >= min_chars)
-                keys = x.block_keys()[long] if keyed else np.zeros((len(long), 0), np.int64)
-                lists = pa.ListArray.from_arrays(np.arange(len(long) + 1, dtype=np.int32) * keys.shape[1], pa.array(keys.reshape(-1)))
-                doc = batch.column(0).slice(lo, hi - lo).take(pa.array(x.row[long]))
-                yield pa.record_batch([doc, pa.array(x.number[long].astype(np.int32)), pa.array(x.whole(0)[long].view(np.int64)), pa.array(x.whole(1)[long].view(np.int64)), lists], names=["doc_id", "line", "h1", "h2", "keys"])
+                kept = np.flatnonzero(x.chars >= exact_chars)
+                long = (x.chars[kept] >= min_chars) & keyed
+                keys = x.block_keys()[kept[long]] if keyed else np.zeros((0, 0), np.int64)
+                ends = np.zeros(len(kept) + 1, np.int32)
+                np.cumsum(long * keys.shape[1], out=ends[1:])
+                lists = pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1)))
+                doc = batch.column(0).slice(lo, hi - lo).take(pa.array(x.row[kept]))
+                yield pa.record_batch([doc, pa.array(x.number[kept].astype(np.int32)), pa.array(x.whole(0)[kept].view(np.int64)), pa.array(x.whole(1)[kept].view(np.int64)), lists], names=["doc_id", "line", "h1", "h2", "keys"])
 
     return docs.where(F.col("text").isNotNull()).mapInArrow(found, "doc_id long, line int, h1 long, h2 long, keys array<long>")
 
@@ -204,9 +210,9 @@ def earlier_neighbours(lines: DataFrame) -> DataFrame:
     return pairs.where((F.col("norm") == F.col("norm_2")) | (F.levenshtein("norm", "norm_2", 1) >= 0)).select("doc_id", "line").distinct()
 
 
-def dropped_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
     """(doc_id, drops): the numbers of the lines that go, for documents that lose any; docs has doc_id and text."""
-    rows = line_rows(docs, min_chars)
+    rows = line_rows(docs, min_chars, exact_chars)
     place = F.struct("doc_id", "line")
     first = common.settled(rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")))
     keyed = first.select("first.*", F.posexplode("keys").alias("kind", "key"))
@@ -215,7 +221,7 @@ def dropped_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     wanted = common.settled(marked.select("doc_id", "line", (F.col("low") + F.col("high") * (1 << BLOCKS)).cast("int").alias("blocks")))
     near = earlier_neighbours(common.settled(chosen_lines(docs, wanted)))
     repeats = first.where("n > 1").select(F.col("h1").alias("h1_"), F.col("h2").alias("h2_"), "first")
-    again = line_rows(docs, min_chars, keyed=False).select("doc_id", "line", "h1", "h2").join(repeats, (F.col("h1") == F.col("h1_")) & (F.col("h2") == F.col("h2_")))
+    again = line_rows(docs, min_chars, exact_chars, keyed=False).select("doc_id", "line", "h1", "h2").join(repeats, (F.col("h1") == F.col("h1_")) & (F.col("h2") == F.col("h2_")))
     near = common.settled(near)
     copies = again.join(near.select(F.struct("doc_id", "line").alias("first"), F.lit(True).alias("near")), "first", "left")
     copies = copies.where((F.struct("doc_id", "line") != F.col("first")) | F.col("near")).select("doc_id", "line")
@@ -223,17 +229,17 @@ def dropped_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return common.settled(gone.groupBy("doc_id").agg(F.collect_set("line").alias("drops")))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text", exact_chars: int = 1) -> DataFrame:
     """docs without repeated lines: all their columns, and n_lines and n_dropped.
 
     Texts are cut at \\n; the lines that stay are unchanged and in order, and no document goes, even if no line of
     it stays (its text is then empty).  A null text stays null and has no lines; an empty one has one line.
-    Lines shorter than min_chars always stay.  Rows that share a doc_id share their place: of lines at the same
-    place none is earlier.  A null doc_id comes first of all.  Columns of any other name pass through.
+    Of lines shorter than min_chars only exact repeats of at least exact_chars characters go.  Rows that share a
+    doc_id share their place: of lines at the same place none is earlier.  A null doc_id comes first of all.  Columns of any other name pass through.
     """
     columns = docs.columns
     packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col]).alias("rest"))
-    drops = dropped_lines(packed.select("doc_id", "text"), min_chars)
+    drops = dropped_lines(packed.select("doc_id", "text"), min_chars, max(1, exact_chars))
     split = split_by(packed, drops)
     hit = split.where("_hit").join(drops.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "rest", "drops")
     out = hit.unionByName(split.where("NOT _hit").select("doc_id", "text", "rest", F.lit(None).cast("array<int>").alias("drops")))

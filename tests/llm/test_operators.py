@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loomgraph.llm import audio, chat, common, forest, katz, linededup, mixing, neardup, packing, quality, registry, tokencount
 from tests.oracle import assert_same
 
@@ -171,6 +172,48 @@ def test_line_dedup(spark):
     assert {r.doc_id: r.text for r in got} == want
 
 
+def test_line_dedup_drops_short_repeats(spark):
+    """The registered query and the pipeline's stage: exact repeats go however short; one edit counts from 16 characters."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want, seen, short = {}, set(), 0
+    for r in docs.select("doc_id", "text").orderBy("doc_id").collect():
+        drops = 0
+        for line in (r.text or "").split("\n"):
+            x = re.sub(r"[\t-\r ]+", " ", lower(line)).strip(" ")
+            drops += x in seen
+            short += x in seen and len(x) < 16
+            seen |= {x} - {""}
+        want[r.doc_id] = drops
+    assert short > 300
+    got = {r.doc_id: r for r in linededup.op5_lines(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(got[i].n_dropped >= n for i, n in want.items())
+    texts = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, sf).collect()}
+    short = Counter(x for t in texts.values() for line in (t or "").split("\n") if 0 < len(x := re.sub(r"[\t-\r ]+", " ", lower(line)).strip(" ")) < 16)
+    assert set(short.values()) == {1}
+    few = spark.createDataFrame([(1, "Ab\nabc\n\nab "), (2, "\nabd\nABC\n ")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(few).collect()} == {1: "Ab\nabc\n", 2: "\nabd\n "}
+
+
+@pytest.mark.parametrize("exact", [1, 16])
+def test_line_dedup_by_brute_force_with_both_floors(spark, exact):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcé dXY") for _ in range(rng.choice([1, 2, 5, 14, 15, 16, 17, 30]))) for _ in range(50)]
+    edit = lambda s: s[: (p := rng.randrange(len(s)))] + rng.choice(["", "b", "éz"]) + s[p + 1 :]
+    rows = [(d, "\n".join(edit(x) if rng.random() < 0.4 else x for x in rng.choices(base, k=rng.randint(0, 8)))) for d in range(100)]
+    want, seen = {}, []
+    for d, t in rows:
+        kept = []
+        for line in t.split("\n"):
+            x = re.sub(r" +", " ", lower(line)).strip(" ")
+            again = len(x) >= exact and bool(x) and x in seen or len(x) >= 16 and any(len(y) >= 16 and within_one(x, y) for y in seen)
+            kept += [] if again else [line]
+            seen.append(x)
+        want[d] = "\n".join(kept)
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), exact_chars=exact).collect()
+    assert {r.doc_id: r.text for r in got} == want
+
+
 def test_mixing_reaches_targets(spark, docs):
     rows = mixing.mix(docs).toPandas()
     again = mixing.mix(docs.repartition(5)).toPandas()
