@@ -5,6 +5,8 @@ sigmoid(w . (features(good) - features(bad))) likely, fitted by Newton's method
 differences, so a score is the strength of a document in the Bradley-Terry sense.  Features are counts over the
 whole text (letters, marks, words, repeats), each also as indicators of its quantile bins, so an effect need not
 be monotone.  The threshold is a quantile of the scores of the documents fitted on, at the share of bad ones.
+Where there are more labels than the fit reads, those it reads count, for the threshold and the slope, as often as
+there are labelled documents of their label for each, so both hold for all of them.
 
 Scale: the fit reads at most `most_labels` labelled documents (those of least hash; the bound of what reaches
 the driver); scoring is one pass over the documents without a shuffle.
@@ -85,7 +87,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Model:
     """Weights over standardised features and their bins, and the line from scores to (0, 1)."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 1, ridge: float = 1.0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 1, ridge: float = 1.0, totals: tuple[int, int] | None = None):
+        """totals: how many documents of labels 0 and 1 x is a sample of; without it x is all of them."""
         self.weights = None
         if not (y == 1).any() or not (y == 0).any():
             return
@@ -106,14 +109,19 @@ class Model:
                 break
         self.weights = w
         s = z @ w
-        ordered, k = np.sort(s), int((y == 0).sum())
+        counts = np.array([(y == 0).sum(), (y == 1).sum()], float)
+        totals = counts if totals is None else np.array(totals, float)
+        times = (totals / counts)[(y == 1).astype(int)]
+        order = np.argsort(s, kind="stable")
+        ordered, upto = s[order], np.cumsum(times[order])
+        k = min(int(np.searchsorted(upto, totals[0] * (1 - 1e-9))) + 1, len(s) - 1)
         self.cut = float(ordered[k - 1] + ordered[k]) / 2  # the quantile at the share of bad ones
         # The slope: logistic regression of the label on the distance to the cut, by bisection of its gradient.
         t, low, high = s - self.cut, 0.01, 20.0
         for _ in range(50):
             a = (low + high) / 2
             p = 1 / (1 + np.exp(-np.clip(a * t + math.log(THRESHOLD / (1 - THRESHOLD)), -30, 30)))
-            low, high = (a, high) if ((y - p) * t).sum() > 0 else (low, a)
+            low, high = (a, high) if (times * (y - p) * t).sum() > 0 else (low, a)
         self.slope = low
 
     def design(self, x: np.ndarray) -> np.ndarray:
@@ -126,10 +134,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * (self.design(x) @ self.weights - self.cut) + math.log(THRESHOLD / (1 - THRESHOLD)), -30, 30)))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most_labels: int) -> tuple[np.ndarray, np.ndarray]:
-    """(features, labels) of the labelled documents, at most that many of each label: those of the least hash."""
+def labelled(docs: DataFrame, labels: DataFrame, most_labels: int) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+    """(features, labels) of the labelled documents, half of most_labels at most of each label, those of the least
+    hash, and how many labelled documents there are of each."""
     known = labels.select(F.col("doc_id").cast("long").alias("of"), F.col("quality").cast("int").alias("quality")).where("of IS NOT NULL AND quality IN (0, 1)").distinct()
-    parts = [known.where(F.col("quality") == v).orderBy(F.xxhash64("of"), "of").limit(most_labels // 2) for v in (0, 1)]
+    known = common.settled(docs.select("doc_id").join(known, docs["doc_id"] == F.col("of")).groupBy("of", "quality").agg(F.count(F.lit(1)).alias("times")))
+    sums = {r.quality: r.n for r in known.groupBy("quality").agg(F.sum("times").alias("n")).collect()}
+    parts = [known.drop("times").where(F.col("quality") == v).orderBy(F.xxhash64("of"), "of").limit(most_labels // 2) for v in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most most_labels rows
 
     def measured(batches):
@@ -140,12 +151,14 @@ def labelled(docs: DataFrame, labels: DataFrame, most_labels: int) -> tuple[np.n
 
     got = docs.join(chosen, docs["doc_id"] == F.col("of")).select("text", "quality", "doc_id").sort("doc_id", "quality")
     rows = got.select("text", "quality").mapInArrow(measured, "quality int, x array<double>").toPandas()
-    return (np.array(rows["x"].tolist(), float), rows["quality"].to_numpy()) if len(rows) else (np.zeros((0, 1)), np.zeros(0))
+    x, y = (np.array(rows["x"].tolist(), float), rows["quality"].to_numpy()) if len(rows) else (np.zeros((0, 1)), np.zeros(0))
+    return x, y, (sums.get(0, 0), sums.get(1, 0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, quality); labels other than 0 and 1 don't count."""
-    return Model(*labelled(docs, labels, most_labels))
+    x, y, totals = labelled(docs, labels, most_labels)
+    return Model(x, y, totals=totals)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -310,6 +310,20 @@ def test_quality_on_held_out_labels(spark):
     assert (held.predicted == held.quality).mean() > 0.95 and rows.score.between(0, 1).all()
 
 
+def test_quality_threshold_with_a_cap_below_the_good_labels(spark):
+    """The threshold rejects the share of bad labels of all, also where the fit reads a part of the good ones."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(20000) > 0.15).astype(int)
+    x = rng.normal(0, 1, (20000, 3)) + y[:, None]
+    some = np.concatenate([np.flatnonzero(y == v)[:2000] for v in (0, 1)])
+    model = quality.Model(x[some], y[some], totals=((y == 0).sum(), (y == 1).sum()))
+    assert abs((model.score(x) < quality.THRESHOLD).mean() - (y == 0).mean()) < 0.02
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 5)) for i in range(40)], "doc_id long, quality int")
+    _, got, totals = quality.labelled(docs, labels, 12)
+    assert sorted(got) == [0] * 5 + [1] * 6 and totals == (5, 25)
+
+
 def test_forest_recall(spark):
     sf = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas().sort_values("vec_id")
