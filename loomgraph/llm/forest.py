@@ -3,7 +3,8 @@
 Each tree gives a vector a long hash string: symbol k says which axis, with its sign, is nearest to the vector
 after the tree's k-th random rotation (cross-polytope hashing, Andoni et al. 2015).  A tree is the sorted array of
 its strings.  A query descends each tree to its longest matching prefix by binary search, then all trees ascend
-in step, one symbol at a time, until the matches are at least `candidates` (LSH forest, Bawa et al. 2005); every
+in step, one symbol at a time, until the matches are at least `candidates`, counted in each tree, and more than
+`distinct` different ones, the query's own among them (LSH forest, Bawa et al. 2005), or all there are; every
 match at that depth is scored by inner product in double precision.  For inner products the vectors get one more
 component that makes all lengths equal (Neyshabur and Srebro 2015), and the queries a zero there.
 
@@ -51,7 +52,7 @@ class Forest:
             out = out << np.uint64(8) | (axis[:, k] * 2 + sign[:, k]).astype(np.uint64)
         return out
 
-    def search(self, q: np.ndarray, candidates: int):
+    def search(self, q: np.ndarray, candidates: int, distinct: int):
         """The rows of x to score for each row of q: all that share the longest prefixes with it, over all trees."""
         length = np.linalg.norm(q, axis=1, keepdims=True)
         v = np.column_stack([q / np.where(length > 0, length, 1), np.zeros(len(q))]).astype(np.float32)
@@ -69,13 +70,15 @@ class Forest:
         depth = np.where(enough.any(0), self.symbols - enough[::-1].argmax(0), 0)
         mark = np.zeros(len(self.x), bool)
         for i in range(len(q)):
-            if depth[i] == 0:
-                yield i, np.arange(len(self.x))
-                continue
             mark[:] = False
-            for t, (_, order) in enumerate(self.trees):
-                mark[order[spans[depth[i], t, 0, i] : spans[depth[i], t, 1, i]]] = True
-            yield i, np.flatnonzero(mark)
+            for at in range(depth[i], 0, -1):  # the matches at a depth are among those at a lesser one
+                for t, (_, order) in enumerate(self.trees):
+                    mark[order[spans[at, t, 0, i] : spans[at, t, 1, i]]] = True
+                if np.count_nonzero(mark) > distinct:
+                    yield i, np.flatnonzero(mark)
+                    break
+            else:
+                yield i, np.arange(len(self.x))
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -93,7 +96,7 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & fine & F.exists(vector, lambda c: c != 0)
 
 
-def nearest(rows: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = 64, candidates: int = 800, block_rows: int = 8192, query_rows: int = 4096, seed: int = 7) -> DataFrame:
+def nearest(rows: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = 64, candidates: int = 800, block_rows: int = 8192, query_rows: int = 4096, seed: int = 7, distinct: int = 400) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that `asked` holds for, its k nearest other rows by inner
     product, largest first, ties to the smaller id; fewer where there are fewer.
 
@@ -128,7 +131,7 @@ def nearest(rows: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_id",
         start = np.searchsorted(entry[order], np.arange(len(first) + 1))
         forest = Forest(v, trees, seed, float(group.longest.iloc[0]))
         q, qid, out = np.stack(asking.v.to_numpy()) + 0.0, asking.id.to_numpy(), []
-        for i, found in forest.search(q, candidates):
+        for i, found in forest.search(q, candidates, max(distinct, k)):
             scores = v[found] @ q[i]
             if len(found) > 4 * k:
                 top = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]

@@ -339,6 +339,19 @@ def test_forest_recall(spark):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("near", [5, 15, 18, 30])
+def test_forest_near_copies(spark, near):
+    """A query among near copies gets k rows and finds those beyond its copies too."""
+    rng = np.random.default_rng(near)
+    v = rng.normal(0, 1, (2000, 64))
+    v[:near] = v[0] / np.linalg.norm(v[0]) + rng.normal(0, 0.001, (near, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in forest.nearest(rows, F.col("vec_id") == 0).collect()]
+    want = np.argsort(-(v[1:] @ v[0]))[:20] + 1
+    assert len(got) == 20 and len(set(got) & set(want.tolist())) >= 18
+
+
 def test_forest_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, None]), (9, [3.0, 4.0]), (10, [1.0, 2.0, 3.0]), (20, [-1.0, 0.5]), (None, [1.0, 1.0])]
