@@ -2,7 +2,7 @@
 
 Lines are compared after A-Z are lower-cased, white space is trimmed and its runs become one space.  A line of at
 least `exact_chars` characters goes if an earlier line (by doc_id, then line number) equals it, and one of at least
-`min_chars` also if an earlier one as long as that is within one edit (insertion, deletion or substitution of a
+`min_chars` also if an earlier one of at least that length is within one edit (insertion, deletion or substitution of a
 character) of it; the earliest stays.  A line without characters always stays.
 
 Deletion neighbourhood: a line emits every variant of itself with one character deleted, as a hashed key, and
@@ -14,7 +14,7 @@ Scale: variants of all lines would be many times the input.  One edit falls into
 two such lines agree outside that block; only lines that share such a block key with another line emit variants,
 and only within that block.  This loses nothing.  Equal lines are one row before any of it.  The texts of
 lines that emit variants are fetched from their documents alone: a bit set of fixed size, a Bloom filter over
-doc_id, spares the other documents the shuffle, and where it fills up more documents are shuffled, never fewer.
+documents, spares the other documents the shuffle, and where it fills up more documents are shuffled, never fewer.
 """
 
 from __future__ import annotations
@@ -22,13 +22,16 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 BLOCKS = 4
 BLOOM_BITS = 25
+#: A document: its id and a hash of its text.  A line's place: that and its number; the order of places is which is earlier.
+KEYS = ["doc_id", "t"]
+PLACE = [*KEYS, "line"]
 _SALTS = np.random.default_rng(5).integers(1, 2**63, (2, 2 * BLOCKS + 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _INK = ~common._SPACE
 _PLAIN = np.where(common._SPACE, np.uint8(32), common._LOWER)
@@ -106,11 +109,11 @@ class Lines:
 
 
 def line_rows(docs: DataFrame, min_chars: int, exact_chars: int, keyed: bool = True) -> DataFrame:
-    """(doc_id, line, h1, h2, keys) of lines of at least exact_chars characters; keys: none under min_chars."""
+    """(doc_id, t, line, h1, h2, keys) of lines of at least exact_chars characters; keys: none under min_chars."""
 
     def found(batches):
         for batch in batches:
-            data, offsets = common.utf8(batch.column(1))
+            data, offsets = common.utf8(batch.column(2))
             for lo, hi in common.slices(offsets):
                 x = Lines(data, offsets[lo : hi + 1])
                 kept = np.flatnonzero(x.chars >= exact_chars)
@@ -119,61 +122,64 @@ def line_rows(docs: DataFrame, min_chars: int, exact_chars: int, keyed: bool = T
                 ends = np.zeros(len(kept) + 1, np.int32)
                 np.cumsum(long * keys.shape[1], out=ends[1:])
                 lists = pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1)))
-                doc = batch.column(0).slice(lo, hi - lo).take(pa.array(x.row[kept]))
-                yield pa.record_batch([doc, pa.array(x.number[kept].astype(np.int32)), pa.array(x.whole(0)[kept].view(np.int64)), pa.array(x.whole(1)[kept].view(np.int64)), lists], names=["doc_id", "line", "h1", "h2", "keys"])
+                place = (batch.column(c).slice(lo, hi - lo).take(pa.array(x.row[kept])) for c in (0, 1))
+                yield pa.record_batch([*place, pa.array(x.number[kept].astype(np.int32)), pa.array(x.whole(0)[kept].view(np.int64)), pa.array(x.whole(1)[kept].view(np.int64)), lists], names=["doc_id", "t", "line", "h1", "h2", "keys"])
 
-    return docs.where(F.col("text").isNotNull()).mapInArrow(found, "doc_id long, line int, h1 long, h2 long, keys array<long>")
+    return docs.where(F.col("text").isNotNull()).mapInArrow(found, "doc_id long, t long, line int, h1 long, h2 long, keys array<long>")
 
 
-def bloom(ids: DataFrame) -> np.ndarray:
-    """A bit set of 2^BLOOM_BITS bits over doc_id: its size is fixed, whatever the number of ids."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BLOOM_BITS))
-    words = ids.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 AS INT))")).alias("bits")).toPandas()
+def spot(keys) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << BLOOM_BITS))
+
+
+def bloom(ids: DataFrame, keys) -> np.ndarray:
+    """A bit set of 2^BLOOM_BITS bits over the keys: its size is fixed, whatever the number of ids."""
+    words = ids.select(spot(keys).alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 AS INT))")).alias("bits")).toPandas()
     out = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def split_by(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs with a boolean _hit: false only where doc_id is not among ids."""
-    words = docs.sparkSession.sparkContext.broadcast(bloom(ids))
+def split_by(docs: DataFrame, ids: DataFrame, keys=KEYS) -> DataFrame:
+    """docs with a boolean _hit: false only where the keys are not among those of ids."""
+    words = docs.sparkSession.sparkContext.broadcast(bloom(ids, keys))
 
     @F.pandas_udf("boolean")
     def hits(spot: pd.Series) -> pd.Series:
         spot = spot.to_numpy()
         return pd.Series((words.value[spot >> 6] >> (spot & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
 
-    return docs.withColumn("_hit", hits(F.pmod(F.xxhash64("doc_id"), F.lit(1 << BLOOM_BITS))))
+    return docs.withColumn("_hit", hits(spot(keys)))
 
 
 def chosen_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, line, blocks, norm): the normalised texts of wanted (doc_id, line, blocks)."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "blocks")).alias("lines"))
-    rows = split_by(docs, lists).where("_hit").drop("_hit").join(lists, "doc_id").select("doc_id", "text", "lines")
+    """(doc_id, t, line, blocks, norm): the normalised texts of wanted (doc_id, t, line, blocks)."""
+    lists = wanted.groupBy(*KEYS).agg(F.collect_list(F.struct("line", "blocks")).alias("lines"))
+    rows = split_by(docs.where(F.col("text").isNotNull()), lists).where("_hit").join(lists, KEYS).select(*KEYS, "text", "lines").dropDuplicates(KEYS)
 
     def picked(batches):
         for batch in batches:
-            data, offsets = common.utf8(batch.column(1))
+            data, offsets = common.utf8(batch.column(2))
             out: list[tuple] = []
-            for i, (doc, lines) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+            for i, (doc, t, lines) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)))):
                 x = Lines(data, offsets[i : i + 2])
                 for it in lines:
-                    out.append((doc, it["line"], it["blocks"], x.bytes[x.start[it["line"]] : x.end[it["line"]]].tobytes().decode("utf-8", "replace")))
-            columns = zip(*out) if out else [[]] * 4
-            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["doc_id", "line", "blocks", "norm"])
+                    out.append((doc, t, it["line"], it["blocks"], x.bytes[x.start[it["line"]] : x.end[it["line"]]].tobytes().decode("utf-8", "replace")))
+            columns = zip(*out) if out else [[]] * 5
+            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["doc_id", "t", "line", "blocks", "norm"])
 
-    return rows.mapInArrow(picked, "doc_id long, line int, blocks int, norm string")
+    return rows.mapInArrow(picked, "doc_id long, t long, line int, blocks int, norm string")
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(v1, v2, at, doc_id, line): the line without its character number `at` in the marked blocks; at -1: itself."""
+    """(v1, v2, at, doc_id, t, line): the line without its character number `at` in the marked blocks; at -1: itself."""
 
     def emitted(batches):
         for batch in batches:
-            data, offsets = common.utf8(batch.column(3))
+            data, offsets = common.utf8(batch.column(4))
             for lo, hi in common.slices(offsets, 1 << 18):
                 x = Lines(data, offsets[lo : hi + 1], texts_are_lines=True)
-                marks = batch.column(2).slice(lo, hi - lo).to_numpy()
+                marks = batch.column(3).slice(lo, hi - lo).to_numpy()
                 of, at = [np.flatnonzero(marks >> BLOCKS)], []
                 at.append(np.full(len(of[0]), -1))
                 for j in range(BLOCKS):
@@ -188,66 +194,73 @@ def variants(lines: DataFrame) -> DataFrame:
                 back = np.where(at < 0, x.end[of], x.char_at[np.minimum(char + 1, len(x.char_at) - 1)])
                 up, _ = common._powers(len(x.bytes) + 1)
                 hashes = [common.mix(x.hash(w, x.start[of], cut) + x.hash(w, back, x.end[of]) * up[cut - x.start[of]] + (x.chars[of] - (at >= 0)).astype(np.uint64)).view(np.int64) for w in (0, 1)]
-                docs, nums = (batch.column(c).slice(lo, hi - lo).take(pa.array(of)) for c in (0, 1))
-                yield pa.record_batch([*map(pa.array, hashes), pa.array(at.astype(np.int32)), docs, nums], names=["v1", "v2", "at", "doc_id", "line"])
+                place = (batch.column(c).slice(lo, hi - lo).take(pa.array(of)) for c in (0, 1, 2))
+                yield pa.record_batch([*map(pa.array, hashes), pa.array(at.astype(np.int32)), *place], names=["v1", "v2", "at", *PLACE])
 
-    return lines.mapInArrow(emitted, "v1 long, v2 long, at int, doc_id long, line int")
+    return lines.mapInArrow(emitted, "v1 long, v2 long, at int, doc_id long, t long, line int")
 
 
 def earlier_neighbours(lines: DataFrame) -> DataFrame:
-    """(doc_id, line) of lines that have an earlier line within one edit; lines from chosen_lines."""
-    own = F.struct("doc_id", "line")
+    """(doc_id, t, line) of lines that have an earlier line within one edit; lines from chosen_lines."""
+    own = F.struct(*PLACE)
     v = common.settled(variants(lines))
     spots = v.groupBy("v1", "v2", "at").agg(F.min(own).alias("least"), F.count(F.lit(1)).alias("n"))
     spots = common.settled(spots)
     same = spots.where("at >= 0 AND n > 1").select("v1", "v2", "at", "least")
-    keys = spots.groupBy("v1", "v2").agg(F.min(F.when(F.col("at") < 0, F.col("least"))).alias("self"), F.min(F.when(F.col("at") >= 0, F.col("least"))).alias("longer")).where("self IS NOT NULL AND longer IS NOT NULL")
-    pairs = v.join(same, ["v1", "v2", "at"]).select("doc_id", "line", "least")
-    pairs = pairs.unionByName(v.join(keys, ["v1", "v2"]).select("doc_id", "line", F.when(F.col("at") < 0, F.col("longer")).otherwise(F.col("self")).alias("least")))
-    pairs = pairs.where(F.col("least") < own).distinct().select("doc_id", "line", F.col("least.doc_id").alias("doc_2"), F.col("least.line").alias("line_2"))
-    text = lines.select("doc_id", "line", "norm")
-    pairs = pairs.join(text, ["doc_id", "line"]).join(text.select(F.col("doc_id").alias("doc_2"), F.col("line").alias("line_2"), F.col("norm").alias("norm_2")), ["doc_2", "line_2"])
-    return pairs.where((F.col("norm") == F.col("norm_2")) | (F.levenshtein("norm", "norm_2", 1) >= 0)).select("doc_id", "line").distinct()
+    itself, longer = (F.min(F.when(c, F.col("least"))) for c in (F.col("at") < 0, F.col("at") >= 0))
+    keys = spots.groupBy("v1", "v2").agg(itself.alias("self"), longer.alias("longer")).where("self IS NOT NULL AND longer IS NOT NULL")
+    pairs = v.join(same, ["v1", "v2", "at"]).select(*PLACE, "least")
+    pairs = pairs.unionByName(v.join(keys, ["v1", "v2"]).select(*PLACE, F.when(F.col("at") < 0, F.col("longer")).otherwise(F.col("self")).alias("least")))
+    other = [f"{c}_2" for c in PLACE]
+    pairs = pairs.where(F.col("least") < own).distinct().select(*PLACE, *[F.col(f"least.{c}").alias(o) for c, o in zip(PLACE, other)])
+    text = lines.select(*PLACE, "norm")
+    pairs = pairs.join(text, PLACE).join(text.select(*[F.col(c).alias(o) for c, o in zip(PLACE, other)], F.col("norm").alias("norm_2")), other)
+    return pairs.where((F.col("norm") == F.col("norm_2")) | (F.levenshtein("norm", "norm_2", 1) >= 0)).select(*PLACE).distinct()
 
 
 def dropped_lines(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
-    """(doc_id, drops): the numbers of the lines that go, for documents that lose any; docs has doc_id and text."""
+    """(doc_id, t, drops): the numbers of the lines that go, for documents that lose any; docs has doc_id, t and text."""
     rows = line_rows(docs, min_chars, exact_chars)
-    place = F.struct("doc_id", "line")
-    first = common.settled(rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")))
+    first = common.settled(rows.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")))
     keyed = first.select("first.*", F.posexplode("keys").alias("kind", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    marked = keyed.join(shared, "key").groupBy("doc_id", "line").agg(F.sum(F.expr("CASE WHEN kind < 4 THEN shiftleft(1, kind) ELSE 0 END")).alias("low"), F.max(F.when(F.col("kind") >= BLOCKS, 1).otherwise(0)).alias("high"))
-    wanted = common.settled(marked.select("doc_id", "line", (F.col("low") + F.col("high") * (1 << BLOCKS)).cast("int").alias("blocks")))
-    near = earlier_neighbours(common.settled(chosen_lines(docs, wanted)))
+    low, high = F.sum(F.expr("CASE WHEN kind < 4 THEN shiftleft(1, kind) ELSE 0 END")), F.max(F.when(F.col("kind") >= BLOCKS, 1).otherwise(0))
+    marked = keyed.join(shared, "key").groupBy(*PLACE).agg(low.alias("low"), high.alias("high"))
+    wanted = common.settled(marked.select(*PLACE, (F.col("low") + F.col("high") * (1 << BLOCKS)).cast("int").alias("blocks")))
+    near = common.settled(earlier_neighbours(common.settled(chosen_lines(docs, wanted))))
     repeats = first.where("n > 1").select(F.col("h1").alias("h1_"), F.col("h2").alias("h2_"), "first")
-    again = line_rows(docs, min_chars, exact_chars, keyed=False).select("doc_id", "line", "h1", "h2").join(repeats, (F.col("h1") == F.col("h1_")) & (F.col("h2") == F.col("h2_")))
-    near = common.settled(near)
-    copies = again.join(near.select(F.struct("doc_id", "line").alias("first"), F.lit(True).alias("near")), "first", "left")
-    copies = copies.where((F.struct("doc_id", "line") != F.col("first")) | F.col("near")).select("doc_id", "line")
+    again = line_rows(docs, min_chars, exact_chars, keyed=False).select(*PLACE, "h1", "h2").join(repeats, (F.col("h1") == F.col("h1_")) & (F.col("h2") == F.col("h2_")))
+    copies = again.join(near.select(F.struct(*PLACE).alias("first"), F.lit(True).alias("near")), "first", "left")
+    copies = copies.where((F.struct(*PLACE) != F.col("first")) | F.col("near")).select(*PLACE)
     gone = copies.unionByName(near)
-    return common.settled(gone.groupBy("doc_id").agg(F.collect_set("line").alias("drops")))
+    return common.settled(gone.groupBy(*KEYS).agg(F.collect_set("line").alias("drops")))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text", exact_chars: int = 1) -> DataFrame:
-    """docs without repeated lines: all their columns, and n_lines and n_dropped.
+    """docs without repeated lines: all their columns, and n_lines and n_dropped, which replace columns so named.
 
     Texts are cut at \\n; the lines that stay are unchanged and in order, and no document goes, even if no line of
     it stays (its text is then empty).  A null text stays null and has no lines; an empty one has one line.
     Of lines shorter than min_chars only exact repeats of at least exact_chars characters go.  Rows that share a
-    doc_id share their place: of lines at the same place none is earlier.  A null doc_id comes first of all.  Columns of any other name pass through.
+    doc_id but not the text are documents of their own, ordered by a hash of the text; rows equal in both are one
+    document, and each keeps what that keeps.  A null doc_id counts as the least number there is.  Columns of any
+    other name pass through.  No documents: no rows.
     """
-    columns = docs.columns
-    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col]).alias("rest"))
-    drops = dropped_lines(packed.select("doc_id", "text"), min_chars, max(1, exact_chars))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    number = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63)))
+    rest = F.struct(F.lit(0).alias("_rest_"), *[F.col(f"`{c}`") for c in columns if c != text_col])
+    packed = docs.select(number.alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("t"), F.col(f"`{text_col}`").alias("text"), rest.alias("rest"))
+    drops = dropped_lines(packed.select("doc_id", "t", "text"), min_chars, max(1, exact_chars))
     split = split_by(packed, drops)
-    hit = split.where("_hit").join(drops.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "rest", "drops")
-    out = hit.unionByName(split.where("NOT _hit").select("doc_id", "text", "rest", F.lit(None).cast("array<int>").alias("drops")))
+    hit = split.where("_hit").join(drops, KEYS, "left").select("text", "rest", "drops")
+    out = hit.unionByName(split.where("NOT _hit").select("text", "rest", F.lit(None).cast("array<int>").alias("drops")))
     lines = F.split("text", "\n", -1)
     flags = F.map_from_entries(F.transform("drops", lambda i: F.struct(i.alias("k"), F.lit(True).alias("v"))))
     kept = F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: F.element_at(F.col("flags"), i).isNull()), "\n"))
-    out = out.withColumn("flags", flags).select("rest", kept.alias("text"), F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).alias("n_lines"), F.coalesce(F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")), F.lit(0)).alias("n_dropped"))
-    return out.select(*[F.col("text").alias(text_col) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in columns], F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    gone = F.coalesce(F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")), F.lit(0))
+    out = out.withColumn("flags", flags).select("rest", kept.alias("text"), F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped"))
+    return out.select(*[F.col("text").alias(text_col) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in columns], "n_lines", "n_dropped")
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
