@@ -37,10 +37,13 @@ def read_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, "file string, block long, payload binary")
 
 
-def flat_blocks(docs: DataFrame, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, path: str | None = None) -> DataFrame:
-    """(file, block, payload, ids): the tokens of docs (doc_id, text) as one flat file per partition, two bytes each.
+def flat_blocks(docs: DataFrame, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, path: str | None = None, width: int = 2) -> DataFrame:
+    """(file, block, payload, ids): the tokens of docs (doc_id, text) as one flat file per partition, `width` bytes each.
 
-    ids has the documents whose separator is in the block: what the file itself doesn't hold.
+    ids has the documents whose separator is in the block: what the file itself doesn't hold.  Null and empty texts
+    have no tokens; null ids and repeated rows stay, each as a document of its own; other columns are not read; no
+    documents, no blocks.  The string of a special token in a text is ordinary text, so none is taken for a separator.
+    An id that doesn't fit into `width` bytes is an error.
     """
 
     def tokenised(batches):
@@ -51,7 +54,9 @@ def flat_blocks(docs: DataFrame, end_id: int = END_ID, block_tokens: int = BLOCK
 
         def block(tokens: np.ndarray) -> pa.RecordBatch:
             ends = int((tokens == end_id).sum())
-            row = [pa.array([name]), pa.array([number], pa.int64()), pa.array([tokens.astype("<u2").tobytes()], pa.binary()), pa.array([ids[:ends]], pa.list_(pa.int64()))]
+            if int(tokens.max()) >> 8 * width:
+                raise ValueError(f"token id {int(tokens.max())} needs more than {width} bytes")
+            row = [pa.array([name]), pa.array([number], pa.int64()), pa.array([tokens.astype(f"<u{width}").tobytes()], pa.binary()), pa.array([ids[:ends]], pa.list_(pa.int64()))]
             del ids[:ends]
             return pa.record_batch(row, names=["file", "block", "payload", "ids"])
 
