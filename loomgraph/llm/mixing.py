@@ -1,12 +1,17 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source gets a target number of words.  A source whose target is r times its size takes floor(r)
-certain copies of each of its documents; the rest of the target is sampled without replacement by Pareto
-order sampling (Rosen 1997): a document with inclusion chance p and a uniform number u ranks by
-(u / (1 - u)) / (p / (1 - p)), and the lowest ranks are taken until the words taken are nearest to the target.
-
-Scale: the text is read once.  Ranks are dealt into buckets of about `bucket_rows` documents of one source, so
-that a source with a third of all rows spreads over many tasks; only sums per bucket are ordered by source.
+Every source gets a target number of words.  A source whose target is r times its size takes floor(r) certain copies
+of each of its documents.  What is left of the target is sampled without replacement, with chances that grow with a
+document's size: as the number of binary digits of its words, up to one, scaled so that the expected words are those
+that are left.  A document whose chance is one is a certain copy too.  The others are drawn by Pareto order sampling
+(Rosen 1997): a document with inclusion chance p and a uniform number u ranks by (u / (1 - u)) / (p / (1 - p)), and the
+lowest ranks are taken.  The sample's size is fixed in words, which is what targets are stated in: it ends where the
+words taken are nearest to the target, so a source misses its target by half a document at most.
+
+Scale: the text is read once.  Chances come from sums per source and size class, 32 at most.  Ranks are dealt into
+buckets of about `bucket_rows` documents of one source by their distribution function over the source, which is
+uniform whatever the chances, so that a source with a third of all rows spreads over many tasks; only sums per bucket
+are ordered by source.
 """
 
 from __future__ import annotations
@@ -51,39 +56,76 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2
     return per.select("source_no", "source", "n", "source_size", F.least(F.coalesce(F.col("weight") * F.col("level"), cap), cap).alias("target"))
 
 
+def chances(sized: DataFrame, per: DataFrame) -> DataFrame:
+    """(source_no, class, chance): the inclusion chance of documents of each size class of each source, beyond the
+    certain copies of all; from per with `rest`, the words that are left.
+
+    The level at which chances c * class, one at most, make the expected words is found in closed form over the classes
+    in the order of saturation, largest first.
+    """
+    cells = sized.groupBy("source", size_class("size").alias("class")).agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("words"))
+    cells = cells.join(per.select("source_no", F.col("source").alias("of_source"), "rest"), F.col("source").eqNullSafe(F.col("of_source")))
+    order = Window.partitionBy("source_no").orderBy(F.col("class").desc())
+    before, onward = (order.rowsBetween(*ends) for ends in ((Window.unboundedPreceding, -1), (Window.currentRow, Window.unboundedFollowing)))
+    left = F.col("rest") - F.coalesce(F.sum("words").over(before), F.lit(0))
+    cells = cells.withColumn("level", F.try_divide(left, F.sum(F.col("class") * F.col("words")).over(onward)))
+    fits = F.when(F.col("level") * F.col("class") <= 1, F.struct(-F.col("class")))
+    level = F.coalesce(F.min_by("level", fits).over(Window.partitionBy("source_no")), F.lit(1.0))
+    chance = F.when(F.col("rest") > 0, F.least(level * F.col("class"), F.lit(1.0))).otherwise(F.lit(0.0))
+    return cells.select("source_no", "class", "docs", "words", chance.alias("chance"))
+
+
+def size_class(size) -> Column:
+    """The number of binary digits of a size."""
+    return F.length(F.bin(size)).cast("long")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, most: int = 2, seed: str = "mix", bucket_rows: int = 500) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, copies, taken.
+    """One row per row of docs: doc_id, size, source_size, target, chance, copies, taken.
 
-    size: words of the text (null: 0); copies: whole copies in the mix, at most `most`; taken: copies * size.
-    Null ids, sources and texts, repeated rows and ties are kept: equal rows are told apart by nothing, so
-    either may be the one that is taken.  An empty table gives no rows.  Other columns are not read.
+    size: words of the text (null: 0); chance: of a copy beyond the certain ones; copies: whole copies in the mix, at
+    most `most`; taken: copies * size.  Null ids, sources and texts, repeated rows and ties are kept: equal rows are
+    told apart by nothing, so either may be the one that is taken.  An empty table gives no rows.  Other columns
+    are not read.
     """
-    sized = common.settled(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+    sized = common.settled(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size")))
     return allot(sized, weights, share, most, seed, bucket_rows)
 
 
 def allot(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2, seed: str = "mix", bucket_rows: int = 500) -> DataFrame:
-    """mix() on rows that have doc_id, source and size already; further columns are kept."""
-    per = targets(sized, weights, share, most)
+    """mix() on rows that have doc_id, source and size already; further columns are kept, but those that have the
+    name of a column of the result are replaced."""
+    result = ["doc_id", "size", "source_size", "target", "chance", "copies", "taken"]
+    extra = [c for c in sized.columns if c not in (*result, "source")]
+    rows = sized.select("doc_id", "source", "size", F.struct(F.lit(0).alias("_extra_"), *[F.col(f"`{c}`") for c in extra]).alias("extra"))
+    per = targets(rows, weights, share, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    per = per.withColumn("whole", F.floor(ratio)).withColumn("part", ratio - F.col("whole")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    per = per.withColumn("whole", F.floor(ratio)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    cells = common.settled(chances(rows, per))
+    in_draw = (F.col("chance") > 0) & (F.col("chance") < 1)
+    drawn = F.collect_list(F.when(in_draw, F.struct("docs", (F.col("chance") / (1 - F.col("chance"))).alias("odds"))))
+    certain = F.sum(F.when(F.col("chance") == 1, F.col("words")).otherwise(0))
+    mixtures = cells.groupBy(F.col("source_no").alias("no")).agg(F.array_sort(drawn).alias("mixture"), certain.alias("certain"))
+    per = per.join(mixtures, F.col("source_no") == F.col("no")).withColumn("to_draw", F.col("rest") - F.col("certain")).withColumnRenamed("source", "of_source").drop("no", "rest", "certain", "n")
+    per = per.join(cells.select(F.col("source_no").alias("no"), "class", "chance"), F.col("source_no") == F.col("no")).drop("no")
+    own = rows.withColumn("own_class", size_class("size"))
+    named = own.join(per, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("own_class") == F.col("class")))
     u = uniform(F.col("doc_id"), seed)
-    odds = u / (1 - u)
-    rank = F.when(F.col("part") > 0, odds / (F.col("part") / (1 - F.col("part")))).otherwise(odds)
-    per = per.withColumnRenamed("source", "of_source")
-    ranked = sized.join(per, sized["source"].eqNullSafe(per["of_source"]))
-    ranked = ranked.withColumn("rank", rank).withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * F.ceil(F.col("n") / bucket_rows)))
+    # How many of the source's documents are expected to rank lower: uniform, so buckets are of a size.
+    lower = F.aggregate("mixture", F.lit(0.0), lambda s, x: s + x["docs"] * x["odds"] * F.col("rank") / (1 + x["odds"] * F.col("rank")))
+    ranked = named.where(in_draw).withColumn("rank", (u / (1 - u)) / (F.col("chance") / (1 - F.col("chance")))).withColumn("bucket", F.floor(lower / bucket_rows))
     sums = ranked.groupBy("source_no", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source_no").alias("s_no"), F.col("bucket").alias("s_bucket"), F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("ahead"))
     ranked = ranked.join(sums, (F.col("source_no") == F.col("s_no")) & (F.col("bucket") == F.col("s_bucket")))
     within = Window.partitionBy("source_no", "bucket").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("ahead") + F.sum("size").over(within)
-    chosen = (F.col("upto") + F.col("upto") - F.col("size")).cast("double") <= 2 * F.col("rest")
-    copies = (F.col("whole") + F.when(chosen & (F.col("part") > 0), 1).otherwise(0)).cast("long")
-    out = ranked.withColumn("upto", upto).withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    extra = [c for c in sized.columns if c not in ("doc_id", "source", "size")]
-    return out.select("doc_id", "size", "source_size", "target", "copies", "taken", *extra)
+    picked = F.when((upto + upto - F.col("size")).cast("double") <= 2 * F.col("to_draw"), 1).otherwise(0)
+    everything = [*[c for c in result[:5]], "whole", "extra"]
+    ranked = ranked.withColumn("picked", picked).select(*everything, "picked")
+    sure = named.where(~in_draw).select(*everything, F.col("chance").cast("int").alias("picked"))
+    out = ranked.unionByName(sure).withColumn("copies", (F.col("whole") + F.col("picked")).cast("long"))
+    return out.select(*result[:6], (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"extra.`{c}`").alias(c) for c in extra])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,10 +142,20 @@ levels AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2 *
     / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY full_at, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM filled),
 chosen AS (SELECT level FROM levels WHERE level <= full_at ORDER BY full_at, source_no LIMIT 1),
 target AS (SELECT source, source_size, least(weight * chosen.level, 2.0::DOUBLE * source_size) AS target FROM levels, chosen),
-part AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0::DOUBLE END AS ratio FROM target),
-ranked AS (SELECT s.doc_id, s.size, p.source, p.source_size, p.target, floor(p.ratio) AS whole, p.ratio - floor(p.ratio) AS part, p.target - floor(p.ratio) * p.source_size AS rest,
-    (('0x' || substr(md5('mix:' || s.doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM sized s JOIN part p ON s.source IS NOT DISTINCT FROM p.source),
-ordered AS (SELECT *, CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) ELSE u / (1 - u) END AS rank FROM ranked),
+part AS (SELECT *, target - whole * source_size AS rest FROM (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0::DOUBLE END) AS whole FROM target)),
+cells AS (SELECT p.source, length(bin(s.size)) AS class, any_value(p.rest) AS rest, sum(s.size) AS words FROM sized s JOIN part p ON s.source IS NOT DISTINCT FROM p.source GROUP BY p.source, class),
+leveled AS (SELECT *, (rest - coalesce(sum(words) OVER (PARTITION BY source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(class * words) OVER (PARTITION BY source ORDER BY class DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM cells),
+fitting AS (SELECT source, arg_max(level, class) AS level FROM leveled WHERE level * class <= 1 GROUP BY source),
+chances AS (SELECT l.source, l.class, l.words, CASE WHEN l.rest > 0 THEN least(coalesce(f.level, 1) * l.class, 1::DOUBLE) ELSE 0::DOUBLE END AS chance
+    FROM leveled l LEFT JOIN fitting f ON l.source IS NOT DISTINCT FROM f.source),
+certain AS (SELECT source, coalesce(sum(words) FILTER (chance = 1), 0) AS words FROM chances GROUP BY source),
+ranked AS (SELECT s.doc_id, s.size, p.source, p.source_size, p.target, p.whole, p.rest - e.words AS to_draw, c.chance,
+    (('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+    FROM sized s JOIN part p ON s.source IS NOT DISTINCT FROM p.source
+    JOIN chances c ON s.source IS NOT DISTINCT FROM c.source AND length(bin(s.size)) = c.class JOIN certain e ON s.source IS NOT DISTINCT FROM e.source),
+ordered AS (SELECT *, (u / (1 - u)) / (chance / (1 - chance)) AS rank FROM ranked WHERE chance > 0 AND chance < 1),
 summed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM ordered)
-SELECT doc_id, size, source_size, target, ((whole + CASE WHEN part > 0 AND (upto + upto - size)::DOUBLE <= 2 * rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM summed
+SELECT doc_id, size, source_size, target, ((whole + CASE WHEN (upto + upto - size)::DOUBLE <= 2 * to_draw THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM summed
+UNION ALL SELECT doc_id, size, source_size, target, ((whole + chance) * size)::BIGINT FROM ranked WHERE chance IN (0, 1)
 """
