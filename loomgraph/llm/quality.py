@@ -9,7 +9,8 @@ Where there are more labels than the fit reads, those it reads count, for the th
 there are labelled documents of their label for each, so both hold for all of them.
 
 Scale: the fit reads at most `most_labels` labelled documents (those of least hash; the bound of what reaches
-the driver); scoring is one pass over the documents without a shuffle.
+the driver) and draws at most `most_pairs` preference pairs from them; scoring is one pass over the documents without
+a shuffle.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MOST_LABELS = 8_000
-PAIRS = 12_000
+MOST_PAIRS = 12_000
 BINS = 10
 THRESHOLD = 0.7
 
@@ -87,8 +88,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Model:
     """Weights over standardised features and their bins, and the line from scores to (0, 1)."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 1, ridge: float = 1.0, totals: tuple[int, int] | None = None):
-        """totals: how many documents of labels 0 and 1 x is a sample of; without it x is all of them."""
+    def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 1, ridge: float = 1.0, totals: tuple[int, int] | None = None, most_pairs: int = MOST_PAIRS):
+        """totals: how many documents of labels 0 and 1 x is a sample of; without it x is all of them.  most_pairs: up
+        to so many all pairs of a good and a bad document are fitted on; of more, so many (or one for each document) in
+        which every document is, and those of one label about equally often."""
         self.weights = None
         if not (y == 1).any() or not (y == 0).any():
             return
@@ -97,9 +100,12 @@ class Model:
         z = self.design(x)
         rng = np.random.default_rng(seed)
         good, bad = (rng.permutation(np.flatnonzero(y == v)) for v in (1, 0))
-        n = min(PAIRS, len(good) * len(bad))
-        # Dealt in rounds, so that each good one is used and each bad one about equally often.
-        d = z[np.resize(good, n)] - z[rng.permutation(np.resize(bad, n))]
+        if len(good) * len(bad) <= most_pairs:
+            one, other = np.repeat(good, len(bad)), np.tile(bad, len(good))
+        else:
+            n = max(most_pairs, len(good), len(bad))
+            one, other = np.resize(good, n), rng.permutation(np.resize(bad, n))
+        d = z[one] - z[other]
         w = np.zeros(z.shape[1])
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
@@ -136,45 +142,51 @@ class Model:
 
 def labelled(docs: DataFrame, labels: DataFrame, most_labels: int) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
     """(features, labels) of the labelled documents, half of most_labels at most of each label, those of the least
-    hash, and how many labelled documents there are of each."""
-    known = labels.select(F.col("doc_id").cast("long").alias("of"), F.col("quality").cast("int").alias("quality")).where("of IS NOT NULL AND quality IN (0, 1)").distinct()
-    known = common.settled(docs.select("doc_id").join(known, docs["doc_id"] == F.col("of")).groupBy("of", "quality").agg(F.count(F.lit(1)).alias("times")))
-    sums = {r.quality: r.n for r in known.groupBy("quality").agg(F.sum("times").alias("n")).collect()}
-    parts = [known.drop("times").where(F.col("quality") == v).orderBy(F.xxhash64("of"), "of").limit(most_labels // 2) for v in (0, 1)]
+    hash, and how many labelled documents there are of each.
+
+    A document whose labels contradict each other has none; labels of no document, other than 0 and 1, or without an
+    id don't count.  Rows that share a doc_id are one labelled document, with the text of the least hash.
+    """
+    named = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
+    named = named.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").select("id", "label")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text"), F.xxhash64("text").alias("hash"))
+    known = common.settled(texts.join(named, F.col("doc") == F.col("id")).groupBy("id", "label").agg(F.min("hash").alias("least")))
+    sums = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = [known.where(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(most_labels // 2) for v in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most most_labels rows
 
     def measured(batches):
         for batch in batches:
             data, offsets = common.utf8(batch.column(0))
             x = [features(data, offsets[lo : hi + 1]) for lo, hi in common.slices(offsets)]
-            yield pa.record_batch([batch.column(1), pa.array(list(np.concatenate(x)) if x else [], pa.list_(pa.float64()))], names=["quality", "x"])
+            yield pa.record_batch([*batch.columns[1:], pa.array(list(np.concatenate(x)) if x else [], pa.list_(pa.float64()))], names=["id", "label", "x"])
 
-    got = docs.join(chosen, docs["doc_id"] == F.col("of")).select("text", "quality", "doc_id").sort("doc_id", "quality")
-    rows = got.select("text", "quality").mapInArrow(measured, "quality int, x array<double>").toPandas()
-    x, y = (np.array(rows["x"].tolist(), float), rows["quality"].to_numpy()) if len(rows) else (np.zeros((0, 1)), np.zeros(0))
+    got = texts.join(chosen, (F.col("doc") == F.col("id")) & (F.col("hash") == F.col("least"))).select("text", "id", "label")
+    rows = got.mapInArrow(measured, "id long, label int, x array<double>").dropDuplicates(["id"]).sort("id").toPandas()  # at most most_labels rows
+    x, y = (np.array(rows["x"].tolist(), float), rows["label"].to_numpy()) if len(rows) else (np.zeros((0, 1)), np.zeros(0))
     return x, y, (sums.get(0, 0), sums.get(1, 0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> Model:
-    """A model from docs (doc_id, text) and labels (doc_id, quality); labels other than 0 and 1 don't count."""
+def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, most_pairs: int = MOST_PAIRS) -> Model:
+    """A model from docs (doc_id, text) and labels (doc_id, quality), as labelled() reads them."""
     x, y, totals = labelled(docs, labels, most_labels)
-    return Model(x, y, totals=totals)
+    return Model(x, y, totals=totals, most_pairs=most_pairs)
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a column quality_score: 0 to 1, at least THRESHOLD for what the model keeps.
+def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
+    """docs with a column score_col, 0 to 1 and at least THRESHOLD for what the model keeps; it replaces one so named.
 
     Null and empty texts get the score of a text without words; without labels of both kinds all get THRESHOLD.
     """
-    fields = [f for f in docs.schema.fields if f.name != "quality_score"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", quality_score double"
+    fields = [f for f in docs.schema.fields if f.name != score_col]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{score_col}` double"
     at = [f.name for f in fields].index(text_col)
 
     def run(batches):
         for batch in batches:
             data, offsets = common.utf8(batch.column(at))
             scores = [model.score(features(data, offsets[lo : hi + 1])) for lo, hi in common.slices(offsets)]
-            yield pa.record_batch([*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*batch.schema.names, "quality_score"])
+            yield pa.record_batch([*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*batch.schema.names, score_col])
 
     return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, schema)
 
