@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir).  Where it is unset, a local session gets a temporary
+    one, as its executors are this process; a cluster is refused, as they would write to folders of their own."""
     context = spark.sparkContext
     set_to = context.getConf().get("spark.checkpoint.dir")
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not set_to and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         set_to = set_to or "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         context.setCheckpointDir(set_to)
     return set_to or context._jsc.sc().getCheckpointDir().get()
@@ -35,15 +36,6 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def released(df: DataFrame) -> DataFrame:
-    """df, after Spark has been told to look for shuffle files that nothing refers to any more, to free their disk."""
-    for _ in range(2):  # the driver learns a moment later that Python let go of them
-        gc.collect()
-        time.sleep(0.7)
-        df.sparkSession.sparkContext._jvm.System.gc()
-    return df
-
-
 # ---------------------------------------------------------------- words of Arrow text, without Python strings
 
 _SEED = np.random.default_rng(20240607)

@@ -322,7 +322,7 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
             return group
         return total_pairs(group, unigrams)
 
-    answers = common.released(common.settled(asked().groupBy("deal").applyInArrow(answer, ROW)))
+    answers = common.settled(asked().groupBy("deal").applyInArrow(answer, ROW))
     pairs = Discounts.fitted(np.r_[0, total_stats(answers)[2 : TOP + 3]].astype(float))
     found = answers.where(F.col("kind") == HOT_SUMS).select("a", "b").toPandas()  # at most HOT histories a bucket's share
     hot_h = np.concatenate([np.zeros(0, np.int64), *(expand(a, np.int64) for a in found["a"])])

@@ -12,9 +12,11 @@ Scale and skew: texts that have the same set are one class from the start.  No s
 Each class is first compared by its sketch with one centre, of its bands' members that with the most company; those
 of a band that are still apart visit the band's other members in blocks, and only estimates that join two groups are written.  The
 clusters that come of it hold every likely link.  Within a cluster the full sets are compared by an inverted index
-of shingles, in blocks too, and only the links that join two components are written.  In a cluster larger than a
-block, what its centre confirms is settled before.  So each candidate is confirmed, refuted, or joins what is
-connected already.  Components come from label propagation on tables; nothing is collected.
+of shingles, in blocks too, and only the links that join two components are written.  In a cluster of more than a
+few, what its centre confirms is settled before.  So each candidate is confirmed, refuted, or joins what is
+connected already.  Blocks are bounded by members where sketches are compared and by bytes of text where sets are,
+and those that ask are dealt into batches of the same bound.  Components come from label propagation on tables;
+nothing is collected.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ _FUNCTIONS = _RNG.integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2)
 _DONORS = np.stack([_RNG.permutation(REGISTERS) for _ in range(REGISTERS)])
 _BAND_SALT = _RNG.integers(1, 2**63, (2, BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SKETCH = "doc_id long, n long, d1 long, d2 long, small binary, large binary, keys array<long>"
+SKETCH = "doc_id long, t long, n long, d1 long, d2 long, small binary, large binary, keys array<long>"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -112,12 +114,19 @@ def bands(registers: np.ndarray, kind: int) -> np.ndarray:
     return common.mix((common.mix(x) * _BAND_SALT[kind]).sum(2, dtype=np.uint64)).view(np.int64)
 
 
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, t, text): t tells rows that share a doc_id, or have none, apart by their texts."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+
+
 def sketches(docs: DataFrame, border_low: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: size and 128-bit digest of its set, registers and band keys (null if it is empty)."""
+    """One row per row of docs: a hash t of its text, size and 128-bit digest of its set, registers and band keys (null
+    if it is empty)."""
 
     def sketched(batches):
         for batch in batches:
-            data, offsets = common.utf8(batch.column(1))
+            data, offsets = common.utf8(batch.column(2))
             for lo, hi in common.slices(offsets):
                 h, row = shingles(data, offsets[lo : hi + 1])
                 m = hi - lo
@@ -140,38 +149,48 @@ def sketches(docs: DataFrame, border_low: float, id_col: str = "doc_id", text_co
                             into[r] = reg.tobytes()
                             keys[r] = np.concatenate([keys[r], key]) if len(keys[r]) else key
                 lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *[k for k in keys if len(k)]]).astype(np.int64)))
-                yield pa.record_batch([batch.column(0).slice(lo, m), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(small, pa.binary()), pa.array(large, pa.binary()), lists], names=["doc_id", "n", "d1", "d2", "small", "large", "keys"])
+                yield pa.record_batch([*(batch.column(c).slice(lo, m) for c in (0, 1)), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(small, pa.binary()), pa.array(large, pa.binary()), lists], names=["doc_id", "t", "n", "d1", "d2", "small", "large", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sketched, SKETCH)
+    return identified(docs, id_col, text_col).mapInArrow(sketched, SKETCH)
 
 
-def chance(n: np.ndarray, m: np.ndarray, per: int) -> np.ndarray:
-    """The chance that a register of two disjoint sets of n and m members collides; per: registers that share a hash."""
+def hits(n: np.ndarray, per: int) -> np.ndarray:
+    """(53, sets): the chance that the least hash of a set of n members has z leading zeros; per: registers that share a hash."""
     z = np.arange(53)[:, None]
-    hits = lambda x: (1 - 2.0 ** -(z + 1)) ** (x / per) - (1 - 2.0**-z) ** (x / per)
-    return (hits(np.asarray(n, float)) * hits(np.asarray(m, float))).sum(0) / 1024
+    x = np.asarray(n, float) / per
+    return (1 - 2.0 ** -(z + 1)) ** x - (1 - 2.0**-z) ** x
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, kind: int) -> np.ndarray:
-    """Collision-corrected Jaccard estimates of rows of registers."""
+def chance(n: np.ndarray, m: np.ndarray, per: int) -> np.ndarray:
+    """The chance that a register of two disjoint sets of n and m members collides."""
+    return (hits(n, per) * hits(m, per)).sum(0) / 1024
+
+
+def corrected(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Jaccard estimates of rows of registers whose chances of a collision are c."""
     used = (a != EMPTY) | (b != EMPTY)
     share = ((a == b) & used).sum(-1) / np.maximum(used.sum(-1), 1)
-    c = chance(n, m, REGISTERS if kind else 1)
     return (share - c) / (1 - c)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, kind: int) -> np.ndarray:
+    """Collision-corrected Jaccard estimates of rows of registers."""
+    return corrected(a, b, chance(n, m, REGISTERS if kind else 1))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, block_bytes: int) -> DataFrame:
+    """The pairs (a, b, weight: b's bytes) whose full sets have 100 * intersection >= percent * union.
 
-    The partners of one a are dealt into blocks of about 64, each with its own copy of a's text.
+    The partners of one a are dealt into blocks of about 64 or block_bytes, each with its own copy of a's text.
     """
-    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")).withColumnRenamed("a", "of")
-    spread = pairs.join(sizes, pairs["a"] == F.col("of")).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / 64)).alias("block"))
-    sides = spread.select("a", "block", F.col("b").alias("doc_id")).unionByName(spread.select("a", "block", F.col("a").alias("doc_id")).distinct())
-    rows = sides.join(texts, "doc_id").select("a", "block", "doc_id", "text")
+    per = F.greatest(F.ceil(F.count(F.lit(1)) / 64), F.ceil(F.sum("weight") / block_bytes))
+    sizes = pairs.groupBy("a").agg(per.alias("blocks")).withColumnRenamed("a", "of")
+    spread = pairs.join(sizes, pairs["a"] == F.col("of")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
+    sides = spread.select("a", "block", F.col("b").alias("cid")).unionByName(spread.select("a", "block", F.col("a").alias("cid")).distinct())
+    rows = sides.join(texts, "cid").select("a", "block", "cid", "text")
 
     def compare(group: pa.Table) -> pa.Table:
-        ids = group.column("doc_id").to_numpy()
+        ids = group.column("cid").to_numpy()
         data, offsets = common.utf8(group.column("text"))
         centre = int(group.column("a")[0].as_py())
         sets = [shingles(data, offsets[i : i + 2])[0] for i in range(len(ids))]
@@ -218,19 +237,15 @@ def estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(likely("sa", "sb", "la", "lb", "na", "nb")).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 2000) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (the least doc_id reachable by links), kept.
-
-    Two documents are linked if 100 * intersection >= percent * union of their sets of five-word shingles.
-    Null and empty texts have an empty set and are linked with nothing; rows that share a doc_id count as one
-    document.  No documents: no rows.  Other columns are not read.
-    """
+def judged(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 2000, block_bytes: int = 4 << 20) -> DataFrame:
+    """near_duplicates() with t, the hash that tells rows of one doc_id apart by their texts."""
     share = percent / 100
     least = share - 6 * (share * (1 - share) / REGISTERS) ** 0.5
     sk = common.settled(sketches(docs, share, id_col, text_col))
-    some = sk.where("n > 0")
-    classes = some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("copies"), F.first("small").alias("small"), F.first("large").alias("large"), F.first("keys").alias("keys"))
-    classes = common.settled(classes)
+    own = F.min(F.struct("doc_id", "t"))
+    classes = sk.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), own.alias("row"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("small", "large", "keys")])
+    # A class's number is its place in the settled table, so it is unique whatever the ids.
+    classes = common.settled(classes.withColumn("cid", F.monotonically_increasing_id()))
     keyed = classes.select("cid", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = common.settled(keyed.join(shared, "key").select("key", "cid", "size"))
@@ -240,40 +255,64 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     pairs = central.groupBy(F.col("cid").alias("b")).agg((-F.max(F.struct("company", (-F.col("a")).alias("c")))["c"]).alias("a"))
     near = common.settled(estimated(pairs.select("a", "b"), classes, least))
     by_centre = lambda pairs: pairs.select(F.col("b").alias("node"), F.col("a").alias("label"))  # noqa: E731  each has one centre
-    apart = common.released(split_members(members, by_centre(near), "key"))
+    apart = split_members(members.withColumn("weight", F.lit(1)), by_centre(near), "key")
     likely = common.settled(near.unionByName(across(apart, classes, least, block)))
-    clusters = common.settled(components(likely).select(F.col("node").alias("cid"), F.col("label").alias("key")))
+    clusters = components(likely).select(F.col("node").alias("cid"), F.col("label").alias("key"))
+    texts = texts_of(docs, clusters, classes, id_col, text_col)
     sizes = clusters.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    clusters = common.released(common.settled(clusters.join(sizes, "key")))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(clusters.select(F.col("cid").alias("doc_id")), "doc_id")
-    texts = common.settled(texts.dropDuplicates(["doc_id"]))
-    large = clusters.where(F.col("size") > block).select(F.col("cid").alias("a"))
-    central = near.join(large, "a", "left_semi")
-    sure = common.settled(confirmed(central, texts, percent))
-    open_ = common.released(split_members(clusters, by_centre(sure), "key"))
-    labels = components(sure.unionByName(resolved(open_, texts, percent, block)))
-    named = classes.where("copies > 1").select(F.col("n").alias("n_"), F.col("d1").alias("d1_"), F.col("d2").alias("d2_"), "cid")
-    out = sk.select("doc_id", "n", "d1", "d2").join(named, (F.col("n") == F.col("n_")) & (F.col("d1") == F.col("d1_")) & (F.col("d2") == F.col("d2_")), "left")
-    out = out.withColumn("node", F.coalesce("cid", "doc_id")).join(labels, "node", "left")
-    component = F.coalesce("label", "node")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
+    clusters = common.settled(clusters.join(sizes, "key").join(texts.select("cid", (F.octet_length("text") + F.lit(64)).alias("weight")), "cid"))
+    central = near.join(clusters.where("size > 4").select(F.col("cid").alias("b"), "weight"), "b")
+    sure = common.settled(confirmed(central, texts, percent, block_bytes))
+    open_ = split_members(clusters, by_centre(sure), "key")
+    labels = components(sure.unionByName(resolved(open_, texts, percent, block_bytes)))
+    names = labels.join(classes.select(F.col("cid").alias("node"), "id"), "node")
+    names = names.join(names.groupBy("label").agg(F.min("id").alias("component")), "label").select(F.col("node").alias("cid"), "component")
+    named = classes.select(F.col("n").alias("n_"), F.col("d1").alias("d1_"), F.col("d2").alias("d2_"), "cid", "id", "copies").join(names, "cid", "left")
+    named = named.where("copies > 1 OR component IS NOT NULL").select("n_", "d1_", "d2_", F.coalesce("component", "id").alias("component"), F.lit(True).alias("named"))
+    out = sk.select("doc_id", "t", "n", "d1", "d2").join(named, (F.col("n") == F.col("n_")) & (F.col("d1") == F.col("d1_")) & (F.col("d2") == F.col("d2_")), "left")
+    component = F.when(F.col("named"), F.col("component")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "t", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 2000, block_bytes: int = 4 << 20) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (the least doc_id reachable by links), kept.
+
+    Two documents are linked if 100 * intersection >= percent * union of their sets of five-word shingles.
+    Null and empty texts have an empty set and are linked with nothing.  Rows that share a doc_id but not the text, or
+    have no doc_id, are documents of their own, each linked by its own text; kept compares the doc_id alone.  A
+    component of documents without ids has no component_id, and all of it is kept.  No documents: no rows.  Other
+    columns are not read.
+    """
+    return judged(docs, percent, id_col, text_col, block, block_bytes).drop("t")
+
+
+def texts_of(docs: DataFrame, clusters: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(cid, text): the text of one row of each class of clusters."""
+    rows = clusters.select("cid").join(classes.select("cid", "row"), "cid").select("cid", F.col("row.doc_id").alias("id_"), F.col("row.t").alias("t_"))
+    own = identified(docs, id_col, text_col)
+    found = own.join(rows, (own["t"] == F.col("t_")) & own["doc_id"].eqNullSafe(F.col("id_")))
+    return common.settled(found.select("cid", "text").dropDuplicates(["cid"]))
 
 
 def split_members(members: DataFrame, labels: DataFrame, by: str) -> DataFrame:
-    """members (by, cid, size) of the groups that labels leave in several parts, with label and main, the label of
+    """members (by, cid, weight) of the groups that labels leave in several parts, with label and main, the label of
     the largest part (of equal ones the largest label); a member without a label is a part of its own."""
     named = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     per = named.groupBy(by, "label").agg(F.count(F.lit(1)).alias("k"))
     top = per.groupBy(by).agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select(by, "main")
-    return common.settled(named.join(top, by))
+    return common.settled(named.join(top, by).select(F.col(by).alias("key"), "cid", "weight", "label", "main"))
 
 
-def dealt(open_: DataFrame, block: int) -> DataFrame:
-    """Members held by the blocks of their group, and those outside its main part once per block, asking."""
-    rows = open_.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    held = rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False))
-    asks = rows.where("label <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-    return held.unionByName(asks).drop("blocks", "size", "main")
+def dealt(open_: DataFrame, most: int) -> DataFrame:
+    """(key, block, batch, cid, label, asks): members of a group dealt into blocks of weight `most`, once per batch of
+    those that ask; those outside the main part dealt into batches of weight `most`, asking, once per block."""
+    asking = F.col("label") != F.col("main")
+    per = open_.groupBy("key").agg(F.ceil(F.sum("weight") / most).alias("blocks"), F.ceil(F.sum(F.when(asking, F.col("weight"))) / most).alias("batches"))
+    rows = open_.join(per, "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    held = rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn("batch", every("batches")).withColumn("asks", F.lit(False))
+    asks = rows.where(asking).withColumn("batch", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("batches"))).withColumn("block", every("blocks")).withColumn("asks", F.lit(True))
+    return held.unionByName(asks).select("key", "block", "batch", "cid", "label", "asks")
 
 
 class Joined:
@@ -295,45 +334,48 @@ class Joined:
 
 def across(open_: DataFrame, classes: DataFrame, least: float, block: int) -> DataFrame:
     """Pairs (a, b) of members of one group whose estimates join its parts, no more than it takes in a block."""
-    rows = dealt(open_, block).join(classes.select("cid", "n", "small", "large"), "cid").select("key", "block", "cid", "label", "n", "small", "large", "asks")
+    rows = dealt(open_, block).join(classes.select("cid", "n", "small", "large"), "cid").select("key", "block", "batch", "cid", "label", "n", "small", "large", "asks")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         found, parts = [], Joined()
         for kind, name in enumerate(("small", "large")):
-            mine = group[group[name].notna()]
+            mine = group[group[name].notna()].sort_values("cid")
             asking, held = mine[mine.asks], mine[~mine.asks]
             if not len(asking) or not len(held):
                 continue
-            regs = np.frombuffer(b"".join(held[name]), np.uint16).reshape(-1, REGISTERS)
+            regs, asked = (np.frombuffer(b"".join(x[name]), np.uint16).reshape(-1, REGISTERS) for x in (held, asking))
             n, label, cid = held.n.to_numpy(), held.label.to_numpy(), held.cid.to_numpy()
-            for x in asking.itertuples():
+            per = REGISTERS if kind else 1
+            chances = hits(asking.n, per).T @ hits(n, per) / 1024
+            for i, x in enumerate(asking.itertuples()):
                 other = np.flatnonzero((label != x.label) & (np.minimum(n, x.n) >= least * np.maximum(n, x.n)))
                 if len(other):
-                    own = np.frombuffer(getattr(x, name), np.uint16)
-                    good = other[estimate(regs[other], own[None, :], n[other], np.full(len(other), x.n), kind) >= least]
+                    good = other[corrected(regs[other], asked[i], chances[i, other]) >= least]
                     found += [(x.cid, cid[j]) for j in good if parts.join(x.label, label[j])]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return rows.groupBy("key", "block").applyInPandas(compare, "a long, b long")
+    return rows.groupBy("key", "block", "batch").applyInPandas(compare, "a long, b long")
 
 
-def resolved(open_: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
+def resolved(open_: DataFrame, texts: DataFrame, percent: int, block_bytes: int) -> DataFrame:
     """Links (a, b) of members of one group, on full sets, that join its parts, no more than it takes in a block."""
-    rows = dealt(open_, block).join(texts.withColumnRenamed("doc_id", "cid"), "cid").select("key", "block", "cid", "label", "text", "asks")
+    rows = dealt(open_, block_bytes).join(texts, "cid").select("key", "block", "batch", "cid", "label", "text", "asks")
 
     def compare(group: pa.Table) -> pa.Table:
         asks = np.array(group.column("asks").to_pylist(), bool)
         cid, label = (group.column(c).to_numpy() for c in ("cid", "label"))
         data, offsets = common.utf8(group.column("text"))
         held, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
-        sets = {int(cid[i]): shingles(data, offsets[i : i + 2])[0] for i in [*held, *asking]}
-        n = np.array([len(sets[int(c)]) for c in cid[held]], np.int64)
-        flat = np.concatenate([np.zeros(0, np.uint64), *(sets[int(c)] for c in cid[held])])
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], np.repeat(np.arange(len(held)), n)[order]
         found, parts = [], Joined()
-        for i in asking:
-            own = sets[int(cid[i])]
+        if len(held) and len(asking):
+            sets = [shingles(data, offsets[i : i + 2])[0] for i in held]
+            n = np.array(list(map(len, sets)), np.int64)
+            flat = np.concatenate(sets)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], np.repeat(np.arange(len(held)), n)[order]
+            at = {int(cid[i]): k for k, i in enumerate(held)}
+        for i in asking if len(held) else ():
+            own = sets[at[int(cid[i])]] if int(cid[i]) in at else shingles(data, offsets[i : i + 2])[0]
             low, high = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
             runs = high - low
             spots = np.arange(runs.sum()) + np.repeat(low - (np.cumsum(runs) - runs), runs)
@@ -343,7 +385,7 @@ def resolved(open_: DataFrame, texts: DataFrame, percent: int, block: int) -> Da
                     found.append((int(cid[i]), int(cid[held[j]])))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return rows.groupBy("key", "block").applyInArrow(compare, "a long, b long")
+    return rows.groupBy("key", "block", "batch").applyInArrow(compare, "a long, b long")
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
