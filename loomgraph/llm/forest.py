@@ -1,12 +1,18 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-Each tree gives a vector a long hash string: symbol k says which axis, with its sign, is nearest to the vector
-after the tree's k-th random rotation (cross-polytope hashing, Andoni et al. 2015).  A tree is the sorted array of
-its strings.  A query descends each tree to its longest matching prefix by binary search, then all trees ascend
-in step, one symbol at a time, until the matches are at least `candidates`, counted in each tree, and more than
-`distinct` different ones, the query's own among them (LSH forest, Bawa et al. 2005), or all there are; every
-match at that depth is scored by inner product in double precision.  For inner products the vectors get one more
-component that makes all lengths equal (Neyshabur and Srebro 2015), and the queries a zero there.
+Each tree gives a vector a long hash string: bit j says on which side of the tree's j-th random plane the vector lies
+(Charikar 2002), 32 bits in all.  A tree is the sorted array of its strings.  A query descends each tree by binary
+search to the longest prefix that its string shares with any row's, which differs from tree to tree.  Then all trees
+ascend in step, one bit at a time, and what shares the prefix at that depth in any tree is a candidate (LSH forest,
+Bawa et al. 2005).  Candidates are scored by inner product in double precision as they turn up.
+
+A query stops by itself: the angle to its k-th best row so far says how likely a row at that angle shares a prefix of
+the present depth in at least one tree, 1 - (1 - (1 - angle / pi)^depth)^trees, and the ascent ends when that is
+`sure` or more.  So a query in a dense cluster ends deep, after few candidates, and one whose neighbours are hardly
+nearer than the rest goes on to short prefixes.  The query's own row counts for nothing, and no row counts twice.
+
+For inner products the vectors get one more component that makes all lengths equal (Neyshabur and Srebro 2015), and
+the queries a zero there.
 
 Scale: rows are dealt at random into blocks of `block_rows`, each with a forest of its own, so a block's memory is
 bounded whatever the data; a query descends in each block's forest and brings back its best k of each.  Rows that
@@ -16,6 +22,8 @@ batches of `query_rows`; there is no join of rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,62 +31,94 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SYMBOLS = 4
+BITS = 32
+TREES_AT_ONCE = 16
 
 
 class Forest:
-    """Sorted arrays of hash strings of the rows of x, one per tree; strings are 8 bits a symbol."""
-
-    def __init__(self, x: np.ndarray, trees: int, seed: int, longest: float):
-        self.x, self.longest = x, longest
-        rng = np.random.default_rng(seed)
-        d = x.shape[1] + 1
-        self.symbols = SYMBOLS if d <= 128 else 2 * SYMBOLS
-        self.axes = min(d, 64)
-        self.turns = [rng.standard_normal((d, self.symbols * self.axes)).astype(np.float32) for _ in range(trees)]
+    """Sorted arrays of the hash strings of the rows of x, one per tree; times: how many rows each row of x stands for."""
+
+    def __init__(self, x: np.ndarray, times: np.ndarray, trees: int, seed: int, longest: float):
+        self.x, self.times, self.longest = x, times, longest
+        self.planes = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, trees * BITS)).astype(np.float32)
         rest = np.sqrt(np.maximum(longest**2 - (x**2).sum(1), 0))
-        self.trees = []
-        for turn in self.turns:
-            strings = self.strings(np.column_stack([x, rest]).astype(np.float32), turn)
-            order = np.argsort(strings, kind="stable")
-            self.trees.append((strings[order], order))
-
-    def strings(self, v: np.ndarray, turn: np.ndarray) -> np.ndarray:
-        y = (v @ turn).reshape(len(v), self.symbols, self.axes)
-        axis = np.abs(y).argmax(2)
-        sign = np.take_along_axis(y, axis[:, :, None], 2)[:, :, 0] > 0
-        out = np.zeros(len(v), np.uint64)
-        for k in range(self.symbols):
-            out = out << np.uint64(8) | (axis[:, k] * 2 + sign[:, k]).astype(np.uint64)
+        strings = self.strings(np.column_stack([x, rest]).astype(np.float32))
+        self.orders = [np.argsort(s, kind="stable") for s in strings]
+        self.sorted = [s[order] for s, order in zip(strings, self.orders)]
+
+    def strings(self, v: np.ndarray) -> np.ndarray:
+        """(trees, rows) of uint32: the strings of the rows of v, first bit highest."""
+        out = []
+        for at in range(0, self.planes.shape[1], TREES_AT_ONCE * BITS):
+            sides = v @ self.planes[:, at : at + TREES_AT_ONCE * BITS] > 0
+            packed = np.packbits(sides.reshape(len(v), -1, BITS), axis=2)
+            out.append(np.ascontiguousarray(packed).view(">u4")[:, :, 0].T.astype(np.uint32))
+        return np.concatenate(out)
+
+    def descend(self, own: np.ndarray) -> np.ndarray:
+        """(trees, queries): the length of the longest prefix that each string shares with one of its tree."""
+        out = np.zeros(own.shape, np.int64)
+        for t, s in enumerate(self.sorted):
+            at = np.searchsorted(s, own[t])
+            for near in (np.maximum(at - 1, 0), np.minimum(at, len(s) - 1)):
+                apart = (own[t] ^ s[near]).astype(np.float64)
+                out[t] = np.maximum(out[t], BITS - np.frexp(apart)[1])
+        return out
+
+    def spans(self, own: np.ndarray, longest: np.ndarray, depth: int) -> np.ndarray:
+        """(2, trees, queries): first and behind the last place in each tree of the strings that share `depth` bits."""
+        out = np.zeros((2, *own.shape), np.int64)
+        low = np.uint32(BITS - depth)
+        for t, s in enumerate(self.sorted):
+            some = np.flatnonzero(longest[t] >= depth)
+            first = own[t][some] >> low << low
+            out[0, t, some] = np.searchsorted(s, first)
+            out[1, t, some] = np.searchsorted(s, first | (np.uint32(1) << low) - np.uint32(1), "right")
         return out
 
-    def search(self, q: np.ndarray, candidates: int, distinct: int):
-        """The rows of x to score for each row of q: all that share the longest prefixes with it, over all trees."""
-        length = np.linalg.norm(q, axis=1, keepdims=True)
-        v = np.column_stack([q / np.where(length > 0, length, 1), np.zeros(len(q))]).astype(np.float32)
-        spans = np.zeros((self.symbols + 1, len(self.trees), 2, len(q)), np.int64)
-        for t, (turn, (strings, _)) in enumerate(zip(self.turns, self.trees)):
-            own = self.strings(v, turn)
-            for depth in range(1, self.symbols + 1):
-                low = np.uint64(8 * (self.symbols - depth))
-                first = own >> low << low
-                spans[depth, t, 0] = np.searchsorted(strings, first)
-                spans[depth, t, 1] = np.searchsorted(strings, first | (np.uint64(1) << low) - np.uint64(1), "right")
-        counts = (spans[:, :, 1] - spans[:, :, 0]).sum(1)
-        counts[0] = len(self.x) * len(self.trees)
-        enough = counts >= candidates
-        depth = np.where(enough.any(0), self.symbols - enough[::-1].argmax(0), 0)
+    def search(self, q: np.ndarray, skips: np.ndarray, k: int, sure: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        """(query, rows found, their scores, depth it ended at) for each row of q, in any order; skips: the row of x
+        that is the query's own in part, or -1."""
+        length = np.linalg.norm(q, axis=1)
+        own = self.strings(np.column_stack([q / np.where(length > 0, length, 1)[:, None], np.zeros(len(q))]).astype(np.float32))
+        longest = self.descend(own)
+        trees = len(self.sorted)
+        found = [np.zeros(0, np.int64)] * len(q)
+        scores = [np.zeros(0)] * len(q)
+        active = np.arange(len(q))
         mark = np.zeros(len(self.x), bool)
-        for i in range(len(q)):
-            mark[:] = False
-            for at in range(depth[i], 0, -1):  # the matches at a depth are among those at a lesser one
-                for t, (_, order) in enumerate(self.trees):
-                    mark[order[spans[at, t, 0, i] : spans[at, t, 1, i]]] = True
-                if np.count_nonzero(mark) > distinct:
-                    yield i, np.flatnonzero(mark)
-                    break
-            else:
-                yield i, np.arange(len(self.x))
+        for depth in range(int(longest.max(initial=0)), 0, -1):
+            spans = self.spans(own[:, active], longest[:, active], depth)
+            sightings, ended = (spans[1] - spans[0]).sum(0), np.zeros(len(active), bool)
+            for j, i in enumerate(active):
+                if sightings[j] <= len(found[i]):  # nothing new, or a tree saw what others have seen
+                    continue
+                mark[found[i]] = True
+                turned_up = np.concatenate([order[a:b] for order, a, b in zip(self.orders, *spans[:, :, j]) if b > a])
+                new = np.unique(turned_up[~mark[turned_up]])
+                mark[found[i]] = False
+                found[i] = np.concatenate([found[i], new])
+                scores[i] = np.concatenate([scores[i], self.x[new] @ q[i]])
+                kth = self.kth(found[i], scores[i], skips[i], k)
+                if kth is not None:
+                    cosine = min(1.0, max(-1.0, kth / max(length[i] * self.longest, 1e-300)))
+                    ended[j] = 1 - (1 - (1 - np.arccos(cosine) / np.pi) ** depth) ** trees >= sure
+                    if ended[j]:
+                        yield int(i), found[i], scores[i], depth
+                        found[i] = scores[i] = np.zeros(0, np.int64)
+            active = active[~ended]
+            if not len(active):
+                return
+        for i in active:
+            yield int(i), np.arange(len(self.x)), self.x @ q[i], 0
+
+    def kth(self, found: np.ndarray, scores: np.ndarray, skip: int, k: int) -> float | None:
+        """The score of the k-th best row found, but for the query's own; None where there are fewer."""
+        top = np.argpartition(scores, len(scores) - k - 1)[len(scores) - k - 1 :] if len(scores) > k + 1 else np.arange(len(scores))
+        top = top[np.argsort(-scores[top], kind="stable")]
+        upto = np.cumsum(self.times[found[top]] - (found[top] == skip))
+        at = int(np.searchsorted(upto, k))
+        return float(scores[top[at]]) if at < len(top) else None
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -96,7 +136,7 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & fine & F.exists(vector, lambda c: c != 0)
 
 
-def nearest(rows: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = 64, candidates: int = 800, block_rows: int = 8192, query_rows: int = 4096, seed: int = 7, distinct: int = 400) -> DataFrame:
+def nearest(rows: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = 128, sure: float = 0.9, block_rows: int = 8192, query_rows: int = 4096, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that `asked` holds for, its k nearest other rows by inner
     product, largest first, ties to the smaller id; fewer where there are fewer.
 
@@ -129,10 +169,11 @@ def nearest(rows: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_id",
         number = np.arange(len(order)) - np.searchsorted(entry[order], np.arange(len(first)))[entry[order]]
         order = order[number <= k]
         start = np.searchsorted(entry[order], np.arange(len(first) + 1))
-        forest = Forest(v, trees, seed, float(group.longest.iloc[0]))
+        forest = Forest(v, np.diff(start), trees, seed, float(group.longest.iloc[0]))
         q, qid, out = np.stack(asking.v.to_numpy()) + 0.0, asking.id.to_numpy(), []
-        for i, found in forest.search(q, candidates, max(distinct, k)):
-            scores = v[found] @ q[i]
+        own = np.searchsorted(ids, qid)  # the query's own row, if it is in this block
+        own = np.where(ids[np.minimum(own, len(ids) - 1)] == qid, entry[np.minimum(own, len(ids) - 1)], -1)
+        for i, found, scores, _ in forest.search(q, own, k, sure):
             if len(found) > 4 * k:
                 top = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
                 found, scores = found[top], scores[top]
