@@ -172,7 +172,7 @@ def places(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(pieces_: DataFrame, capacity: int = CAPACITY, cell_rows: int = 20_000) -> DataFrame:
+def pack(pieces_: DataFrame, capacity: int = CAPACITY, cell_rows: int = 500) -> DataFrame:
     """pieces_ with sequence_id and offset.  Every piece gets one place; sequences have no gaps.
 
     Repeated rows are packed once each.  No pieces: no rows.  Columns of pieces_ with those two names are replaced,
