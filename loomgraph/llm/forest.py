@@ -43,8 +43,9 @@ class Forest:
         self.planes = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, trees * BITS)).astype(np.float32)
         rest = np.sqrt(np.maximum(longest**2 - (x**2).sum(1), 0))
         strings = self.strings(np.column_stack([x, rest]).astype(np.float32))
-        self.orders = [np.argsort(s, kind="stable") for s in strings]
-        self.sorted = [s[order] for s, order in zip(strings, self.orders)]
+        orders = [np.argsort(s, kind="stable") for s in strings]
+        self.sorted = [s[order] for s, order in zip(strings, orders)]
+        self.order = np.concatenate(orders)  # one tree behind the other
 
     def strings(self, v: np.ndarray) -> np.ndarray:
         """(trees, rows) of uint32: the strings of the rows of v, first bit highest."""
@@ -65,60 +66,73 @@ class Forest:
                 out[t] = np.maximum(out[t], BITS - np.frexp(apart)[1])
         return out
 
-    def spans(self, own: np.ndarray, longest: np.ndarray, depth: int) -> np.ndarray:
-        """(2, trees, queries): first and behind the last place in each tree of the strings that share `depth` bits."""
-        out = np.zeros((2, *own.shape), np.int64)
+    def spans(self, own: np.ndarray, longest: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(trees, queries): the first place in each tree of the strings that share `depth` bits, and how many do."""
+        first, count = np.zeros(own.shape, np.int64), np.zeros(own.shape, np.int64)
         low = np.uint32(BITS - depth)
         for t, s in enumerate(self.sorted):
             some = np.flatnonzero(longest[t] >= depth)
-            first = own[t][some] >> low << low
-            out[0, t, some] = np.searchsorted(s, first)
-            out[1, t, some] = np.searchsorted(s, first | (np.uint32(1) << low) - np.uint32(1), "right")
-        return out
+            key = own[t][some] >> low << low
+            at = np.searchsorted(s, key)
+            first[t, some] = at + t * len(s)
+            count[t, some] = np.searchsorted(s, key | (np.uint32(1) << low) - np.uint32(1), "right") - at
+        return first, count
 
     def search(self, q: np.ndarray, skips: np.ndarray, k: int, sure: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-        """(query, rows found, their scores, depth it ended at) for each row of q, in any order; skips: the row of x
-        that is the query's own in part, or -1."""
+        """(query, the best of the rows that turned up, their scores, depth it ended at) for each row of q, in any
+        order: those are the rows of x that hold the k best, or all where there are fewer.  skips: the row of x that is
+        the query's own in part, or -1."""
         length = np.linalg.norm(q, axis=1)
         own = self.strings(np.column_stack([q / np.where(length > 0, length, 1)[:, None], np.zeros(len(q))]).astype(np.float32))
         longest = self.descend(own)
-        trees = len(self.sorted)
-        found = [np.zeros(0, np.int64)] * len(q)
+        trees, n = len(self.sorted), len(self.x)
+        self.scored = np.zeros(len(q), np.int64)
+        seen = np.zeros((len(q), n), bool)
+        mark = np.zeros(n, bool)
+        top = [np.zeros(0, np.int64)] * len(q)
         scores = [np.zeros(0)] * len(q)
         active = np.arange(len(q))
-        mark = np.zeros(len(self.x), bool)
         for depth in range(int(longest.max(initial=0)), 0, -1):
-            spans = self.spans(own[:, active], longest[:, active], depth)
-            sightings, ended = (spans[1] - spans[0]).sum(0), np.zeros(len(active), bool)
-            for j, i in enumerate(active):
-                if sightings[j] <= len(found[i]):  # nothing new, or a tree saw what others have seen
-                    continue
-                mark[found[i]] = True
-                turned_up = np.concatenate([order[a:b] for order, a, b in zip(self.orders, *spans[:, :, j]) if b > a])
-                new = np.unique(turned_up[~mark[turned_up]])
-                mark[found[i]] = False
-                found[i] = np.concatenate([found[i], new])
-                scores[i] = np.concatenate([scores[i], self.x[new] @ q[i]])
-                kth = self.kth(found[i], scores[i], skips[i], k)
-                if kth is not None:
-                    cosine = min(1.0, max(-1.0, kth / max(length[i] * self.longest, 1e-300)))
-                    ended[j] = 1 - (1 - (1 - np.arccos(cosine) / np.pi) ** depth) ** trees >= sure
-                    if ended[j]:
-                        yield int(i), found[i], scores[i], depth
-                        found[i] = scores[i] = np.zeros(0, np.int64)
+            first, count = self.spans(own[:, active], longest[:, active], depth)
+            # The least cosine of a row that has been seen at this depth with the chance asked for.
+            enough = np.cos(np.pi * (1 - (1 - (1 - sure) ** (1 / trees)) ** (1 / depth)))
+            sightings, ended = count.sum(0), np.zeros(len(active), bool)
+            # Looked at once there is a match a tree, and more of them than rows are known.
+            for j in np.flatnonzero(sightings > np.maximum(self.scored[active], trees - 1)):
+                i, runs = active[j], count[:, j]
+                places = np.repeat(first[:, j] - np.cumsum(runs) + runs, runs) + np.arange(sightings[j])
+                rows = self.order[places]
+                mark[rows[~seen[i, rows]]] = True
+                new = np.flatnonzero(mark)
+                mark[new] = False
+                seen[i, new] = True
+                self.scored[i] += len(new)
+                top[i], scores[i] = self.best(np.concatenate([top[i], new]), np.concatenate([scores[i], self.x[new] @ q[i]]), k)
+                kth = self.kth(top[i], scores[i], skips[i], k)
+                if kth is not None and kth >= enough * length[i] * self.longest:
+                    ended[j] = True
+                    yield int(i), top[i], scores[i], depth
             active = active[~ended]
             if not len(active):
                 return
         for i in active:
-            yield int(i), np.arange(len(self.x)), self.x @ q[i], 0
-
-    def kth(self, found: np.ndarray, scores: np.ndarray, skip: int, k: int) -> float | None:
-        """The score of the k-th best row found, but for the query's own; None where there are fewer."""
-        top = np.argpartition(scores, len(scores) - k - 1)[len(scores) - k - 1 :] if len(scores) > k + 1 else np.arange(len(scores))
-        top = top[np.argsort(-scores[top], kind="stable")]
-        upto = np.cumsum(self.times[found[top]] - (found[top] == skip))
+            self.scored[i] = n
+            yield int(i), *self.best(np.arange(n), self.x @ q[i], k), 0
+
+    @staticmethod
+    def best(rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k + 1 rows of the largest scores, and those that tie with the last of them."""
+        if len(rows) > k + 1:
+            some = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+            rows, scores = rows[some], scores[some]
+        return rows, scores
+
+    def kth(self, rows: np.ndarray, scores: np.ndarray, skip: int, k: int) -> float | None:
+        """The score of the k-th best row, but for the query's own; None where there are fewer."""
+        order = np.argsort(-scores, kind="stable")
+        upto = np.cumsum(self.times[rows[order]] - (rows[order] == skip))
         at = int(np.searchsorted(upto, k))
-        return float(scores[top[at]]) if at < len(top) else None
+        return float(scores[order[at]]) if at < len(order) else None
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -174,9 +188,6 @@ def nearest(rows: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_id",
         own = np.searchsorted(ids, qid)  # the query's own row, if it is in this block
         own = np.where(ids[np.minimum(own, len(ids) - 1)] == qid, entry[np.minimum(own, len(ids) - 1)], -1)
         for i, found, scores, _ in forest.search(q, own, k, sure):
-            if len(found) > 4 * k:
-                top = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
-                found, scores = found[top], scores[top]
             at = np.concatenate([order[start[e] : start[e + 1]] for e in found]) if len(found) else np.zeros(0, np.int64)
             scores = np.repeat(scores, start[found + 1] - start[found])
             other = ids[at] != qid[i]

@@ -370,7 +370,7 @@ def forest_figures(v, blocks, queries=100, k=20):
     """(recall, share of the rows scored, depths the queries ended at) of forests of blocks of v."""
     rng = np.random.default_rng(1)
     asked, dealt = rng.choice(len(v), queries, replace=False), rng.permutation(len(v))
-    longest, found, depths = np.linalg.norm(v, axis=1).max(), [set() for _ in asked], []
+    longest, found, depths, scored = np.linalg.norm(v, axis=1).max(), [set() for _ in asked], [], 0
     for b in range(blocks):
         rows = dealt[b::blocks]
         own = {r: j for j, r in enumerate(rows)}
@@ -379,10 +379,11 @@ def forest_figures(v, blocks, queries=100, k=20):
             assert len(set(at.tolist())) == len(at) and np.allclose(scores, v[rows[at]] @ v[asked[i]])
             found[i] |= set(rows[at].tolist())
             depths.append(depth)
+        scored += f.scored.sum()
     scores = v[asked] @ v.T
     scores[np.arange(queries), asked] = -np.inf
     hits = sum(len(found[i] & set(np.argsort(-s)[:k].tolist())) for i, s in enumerate(scores))
-    return hits / (queries * k), sum(map(len, found)) / (queries * len(v)), depths
+    return hits / (queries * k), scored / (queries * len(v)), depths
 
 
 def test_forest_descends_and_ascends():
