@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WEIGHTS = (3, 1, 2)
+#: Sums per source and size class are broadcast up to so many rows, of about half a kilobyte; beyond, Spark joins by key.
+BROADCAST_CELLS = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -108,6 +110,8 @@ def allot(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2,
     mixtures = cells.groupBy(F.col("source_no").alias("no")).agg(F.array_sort(drawn).alias("mixture"), certain.alias("certain"))
     per = per.join(mixtures, F.col("source_no") == F.col("no")).withColumn("to_draw", F.col("rest") - F.col("certain")).withColumnRenamed("source", "of_source").drop("no", "rest", "certain", "n")
     per = per.join(cells.select(F.col("source_no").alias("no"), "class", "chance"), F.col("source_no") == F.col("no")).drop("no")
+    if cells.count() <= BROADCAST_CELLS:
+        per = F.broadcast(per)
     own = rows.withColumn("own_class", size_class("size"))
     named = own.join(per, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("own_class") == F.col("class")))
     u = uniform(F.col("doc_id"), seed)
