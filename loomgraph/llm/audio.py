@@ -3,25 +3,24 @@
 A recording's spectrum is folded into twelve pitch classes per frame, smoothed and normalised.  Sixteen filters,
 differences of two areas of the chroma image, are read off its integral image; each is quantised to two
 Gray-coded bits, so a frame becomes one 32-bit print.  Recordings align at the offset with the most equal prints
-(offset histogram), and the share of differing bits over the overlap tells how well.
+(offset histogram), and the share of differing bits tells how well.
 
-A match: at one offset at least `least_votes` of the query's prints are equal, and the bit error over the overlap is
-at most `most_error`.
+A match: at the offset with the most equal prints (`least_votes` or more; ties to the fewest differing bits, then the
+least offset) there is a stretch of the overlap in which at most `most_error` of the bits differ, and it has at least
+`least_overlap` prints, or all of the shorter recording.  So few equal prints nominate an alignment and the bits decide:
+noise, a start between two frames, a shorter recording in a longer one and a part that two share are all found.
 
-Scale: recordings that are equal are one class, with its members listed, not paired.  A match shares at least
-ceil(v * n) of the query's n prints, so one of any n - ceil(v * n) + 1 of them is in it: only so many of the query's
-prints, its rarest, look up candidates, and prints that a great many recordings share are not expanded.  Which
-candidates are matches is decided on the whole fingerprints.
+Scale: recordings of equal prints are one class, with its members listed, not paired.  A candidate is a class that
+shares a print with one that asks, found by a join on distinct prints; a print that a great many share makes skewed
+join keys, which adaptive execution splits, and none is left out.  Each candidate is decided on whole fingerprints.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -83,80 +82,110 @@ def prints(pcm: np.ndarray, window: int = WINDOW, hop: int = HOP, rate: int = RA
     return out
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, float]:
-    """(offset of a's start in b, votes, overlap, bit error) at the offset with the most equal prints, ties to the least."""
+def counted_votes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many prints of a equal those of b at each offset of a's start in b, from -len(a) on.
+
+    Equal prints are paired where that is few pairs; prints repeated so often that it isn't are counted by
+    correlating where they are, so silence costs n log n and not the square of n.
+    """
+    votes = np.zeros(len(a) + len(b), np.int64)
     order = np.argsort(b, kind="stable")
     low, high = np.searchsorted(b[order], a), np.searchsorted(b[order], a, "right")
-    votes = np.zeros(len(a) + len(b), np.int64)
-    for i in np.flatnonzero(high > low):
-        votes[order[low[i] : high[i]] - i + len(a)] += 1
-    best = int(votes.argmax())
-    offset = best - len(a)
-    x, y = a[max(0, -offset) : len(b) - offset], b[max(0, offset) : len(a) + offset]
-    wrong = int(np.unpackbits((x ^ y).view(np.uint8)).sum())
-    return offset, int(votes[best]), len(x), wrong / (32 * len(x)) if len(x) else 1.0
+    values, of, times = np.unique(a, return_inverse=True, return_counts=True)
+    pairs = np.bincount(of, high - low, len(values))  # equal prints per value
+    heavy = pairs > 64 * len(votes)
+    some = np.flatnonzero((high > low) & ~heavy[of])
+    runs = (high - low)[some]
+    spots = np.repeat(low[some] - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+    np.add.at(votes, order[spots] - np.repeat(some, runs) + len(a), 1)
+    size = 1 << int(len(votes)).bit_length()
+    for v in np.flatnonzero(heavy):
+        x, y = np.fft.rfft(a[::-1] == values[v], size), np.fft.rfft(b == values[v], size)
+        votes[1:] += np.rint(np.fft.irfft(x * y, size)[: len(votes) - 1]).astype(np.int64)
+    return votes
+
+
+def longest_stretch(wrong: np.ndarray, most: float) -> tuple[int, int]:
+    """(start, length) of the longest run of wrong whose mean is at most `most`, ties to the least start."""
+    sums = np.concatenate([[0], np.cumsum(wrong - most)])
+    least = np.minimum.accumulate(sums[::-1])[::-1]  # of what lies behind, itself included
+    # least never falls from left to right, so the last place that is no more than a sum is found by bisection.
+    last = np.searchsorted(least, sums + 1e-9, "right") - 1
+    length = last - np.arange(len(sums))
+    start = int(length.argmax())
+    return start, int(length[start])
+
+
+def align(a: np.ndarray, b: np.ndarray, most_error: float = 0.15) -> tuple[int, int, int, float]:
+    """(offset of a's start in b, votes, prints of the longest stretch within most_error, its bit error) at the offset
+    with the most equal prints; ties to the fewest differing bits, then the least offset."""
+    votes = counted_votes(a, b)
+    best = None
+    for at in np.flatnonzero(votes == votes.max()) if votes.max() else ():
+        offset = int(at) - len(a)
+        x, y = a[max(0, -offset) : len(b) - offset], b[max(0, offset) : len(a) + offset]
+        wrong = np.bitwise_count(x ^ y).astype(np.float64) / 32
+        if best is None or wrong.mean() < best[0]:
+            best = (wrong.mean(), offset, wrong)
+    if best is None:
+        return 0, 0, 0, 1.0
+    start, n = longest_stretch(best[2], most_error)
+    return best[1], int(votes.max()), n, float(best[2][start : start + n].mean()) if n else 1.0
 
 
 def fingerprints(recordings: DataFrame, id_col: str = "doc_id", pcm_col: str = "pcm", window: int = WINDOW, hop: int = HOP, rate: int = RATE) -> DataFrame:
-    """(id, d1, d2, n_prints, prints): prints are four bytes each; d1, d2 a digest of the samples.
+    """(id, n_prints, prints): one row per row of recordings; prints are four bytes each.
 
-    A null recording counts as empty, which is silence of one print.
+    A null recording counts as empty, which is silence of one print.  Null ids and repeated rows stay; no recordings,
+    no rows; other columns are not read.
     """
 
     def run(batches):
         for batch in batches:
-            data = [np.frombuffer(p.as_py() or b"", np.uint8) for p in batch.column(1)]
-            found = [prints(p, window, hop, rate) for p in data]
-            yield pa.record_batch([*batch.columns[:1], *batch.columns[2:], pa.array([len(p) for p in found], pa.int64()), pa.array([p.tobytes() for p in found], pa.binary())], names=["id", "digest", "n_prints", "prints"])
+            found = [prints(np.frombuffer(p.as_py() or b"", np.uint8), window, hop, rate) for p in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array([len(p) for p in found], pa.int64()), pa.array([p.tobytes() for p in found], pa.binary())], names=["id", "n_prints", "prints"])
 
-    pcm = F.coalesce(F.col(pcm_col), F.lit(b""))
-    return recordings.select(F.col(id_col).cast("long").alias("id"), pcm.alias("pcm"), F.md5(pcm).alias("digest")).mapInArrow(run, "id long, digest string, n_prints long, prints binary")
+    return recordings.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{pcm_col}`").alias("pcm")).mapInArrow(run, "id long, n_prints long, prints binary")
 
 
-def matches(found: DataFrame, asked: Column, least_votes: float = 0.5, most_error: float = 0.2) -> tuple[DataFrame, DataFrame]:
+def matches(found: DataFrame, asked: Column, least_votes: int = 1, most_error: float = 0.15, least_overlap: int = 32) -> tuple[DataFrame, DataFrame]:
     """(members, pairs) of found, which must be settled.
 
-    members: id, class_id (least id of an equal recording), n_prints; one row per row of found.
+    members: id, class_id (least id of a recording of equal prints), n_prints, links (how many other classes its class
+    matches, where that asks; else null); one row per row of found.
     pairs: query_id, match_id (class ids, of different classes), offset, votes, overlap, bit_error, for each class
-    with a member that `asked` (over id) holds for.  Rows without an id have no class.
+    with a member that `asked` (over id) holds for.
+    Rows without an id are members of the class of their prints; a class without any id has no class_id and asks for
+    nothing and is found by nothing.  Rows that share an id are recordings of their own; two classes may then have one
+    class_id.  Repeated rows are one class.  No recordings: no members, no pairs.
     """
-    classes = found.groupBy("digest").agg(F.min("id").alias("class_id"), F.first("n_prints").alias("n"), F.first("prints").alias("prints"), F.max(F.coalesce(asked, F.lit(False))).alias("asks"))
-    classes = common.settled(classes.where("class_id IS NOT NULL"))
-    members = found.join(classes.select("digest", "class_id"), "digest", "left").select("id", "class_id", "n_prints")
+    made = found.groupBy(F.md5("prints").alias("digest")).agg(F.min("id").alias("class_id"), F.first("prints").alias("prints"), F.max(F.coalesce(asked, F.lit(False))).alias("asks"))
+    classes = common.settled(made.withColumn("cid", F.monotonically_increasing_id()))
+    named = classes.where("class_id IS NOT NULL")
 
     @F.pandas_udf("array<int>")
     def distinct(p: pd.Series) -> pd.Series:
         return p.map(lambda b: np.unique(np.frombuffer(b, np.int32)))
 
-    index = classes.select("class_id", "n", "asks", F.explode(distinct("prints")).alias("print"))
-    asking = index.where("asks").select("class_id", "print", "n")
-    common_ = index.join(asking.select("print").distinct(), "print", "left_semi").groupBy("print").agg(F.count(F.lit(1)).alias("df"))
-    # A query's prints that are equal count together: its share of distinct prints may be less than that of prints.
-    order = Window.partitionBy("class_id").orderBy("df", "print")
-    weight = asking.join(common_, "print").join(counts(classes.where("asks")), ["class_id", "print"])
-    upto = F.sum("times").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    probes = weight.withColumn("ahead", F.coalesce(upto, F.lit(0))).where(F.col("ahead") <= F.col("n") - F.ceil(F.col("n") * least_votes))
-    pairs = probes.where("df > 1").select(F.col("class_id").alias("query_id"), "print").join(index.select(F.col("class_id").alias("match_id"), "print"), "print")
-    pairs = pairs.where("query_id <> match_id").select("query_id", "match_id").distinct()
-    side = lambda name: classes.select(F.col("class_id").alias(f"{name}_id"), F.col("prints").alias(f"{name}_prints"))
-
-    @F.pandas_udf("offset int, votes int, overlap int, bit_error double")
-    def aligned(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([align(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(a, b)], columns=["offset", "votes", "overlap", "bit_error"])
-
-    pairs = pairs.join(side("query"), "query_id").join(side("match"), "match_id").withColumn("n", (F.length("query_prints") / 4).cast("long"))
-    pairs = pairs.withColumn("fit", aligned("query_prints", "match_prints")).select("query_id", "match_id", "n", "fit.*")
-    return members, pairs.where((F.col("votes") >= F.ceil(F.col("n") * least_votes)) & (F.col("bit_error") <= most_error)).drop("n")
-
+    index = named.select("cid", "asks", F.explode(distinct("prints")).alias("print"))
+    asking = index.where("asks").select(F.col("cid").alias("query"), "print")
+    nominated = asking.join(index.select(F.col("cid").alias("match"), "print"), "print").where("query <> match").select("query", "match").distinct()
+    side = lambda name: named.select(F.col("cid").alias(name), F.col("class_id").alias(f"{name}_id"), F.col("prints").alias(f"{name}_prints"))
 
-def counts(classes: DataFrame) -> DataFrame:
-    """(class_id, print, times)"""
-
-    @F.pandas_udf("array<struct<print: int, times: int>>")
-    def counted(p: pd.Series) -> pd.Series:
-        return p.map(lambda b: [{"print": int(v), "times": int(c)} for v, c in zip(*np.unique(np.frombuffer(b, np.int32), return_counts=True))])
+    @F.pandas_udf("offset int, votes int, overlap int, bit_error double, shorter int")
+    def aligned(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        both = [(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(a, b)]
+        rows = [(*align(x, y, most_error), min(len(x), len(y))) for x, y in both]
+        return pd.DataFrame(rows, columns=["offset", "votes", "overlap", "bit_error", "shorter"])
 
-    return classes.select("class_id", F.explode(counted("prints")).alias("c")).select("class_id", "c.print", "c.times")
+    pairs = nominated.join(side("query"), "query").join(side("match"), "match")
+    pairs = pairs.withColumn("fit", aligned("query_prints", "match_prints")).select("query", "query_id", "match_id", "fit.*")
+    pairs = pairs.where((F.col("votes") >= least_votes) & (F.col("overlap") >= F.least(F.lit(least_overlap), F.col("shorter"))))
+    pairs = common.settled(pairs.drop("shorter"))
+    links = pairs.groupBy(F.col("query").alias("cid")).agg(F.count(F.lit(1)).alias("links"))
+    counted = classes.join(links, "cid", "left").select("digest", "class_id", F.when(F.col("asks") & F.col("class_id").isNotNull(), F.coalesce("links", F.lit(0))).alias("links"))
+    members = found.withColumn("digest", F.md5("prints")).select("id", "n_prints", "digest").join(counted, "digest").select("id", "class_id", "n_prints", "links")
+    return members, pairs.drop("query")
 
 
 def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,5 +193,7 @@ def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes of the documents whose doc_id is divisible by 100 (match_id and the rest are null in the former)."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("pcm"))
     members, pairs = matches(common.settled(fingerprints(docs)), F.col("id") % 100 == 0)
-    rows = members.select(F.col("id").alias("doc_id"), "class_id", "n_prints", *[F.lit(None).cast(t).alias(c) for c, t in (("match_id", "long"), ("offset", "int"), ("votes", "int"), ("overlap", "int"), ("bit_error", "double"))])
-    return rows.unionByName(pairs.select(F.col("query_id").alias("doc_id"), F.col("query_id").alias("class_id"), F.lit(None).cast("long").alias("n_prints"), "match_id", "offset", "votes", "overlap", "bit_error"))
+    kinds = {"match_id": "long", "offset": "int", "votes": "int", "overlap": "int", "bit_error": "double"}
+    rows = members.select(F.col("id").alias("doc_id"), "class_id", "n_prints", "links", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+    empty = F.lit(None).cast("long")
+    return rows.unionByName(pairs.select(F.col("query_id").alias("doc_id"), F.col("query_id").alias("class_id"), empty.alias("n_prints"), empty.alias("links"), *kinds))

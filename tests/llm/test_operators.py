@@ -442,22 +442,94 @@ def test_separator_scan(spark, docs, tmp_path):
     assert [(r.start, r.n_tokens, r.closed) for r in got] == [(0, 0, True), (1, 2, True), (4, 0, True), (5, 5, False)]
 
 
-def test_audio_alignment(spark):
+def tune(rng, notes=20, long=600):
+    return np.concatenate([np.sin(2 * np.pi * f * np.arange(long) / audio.RATE) for f in rng.choice([55, 82, 110, 131, 165, 220, 247], notes)])
+
+
+def plain_prints(pcm):
+    """The prints with every area summed directly."""
+    c = audio.chroma(pcm)
+    out = []
+    for t in range(len(c) - audio.WIDTH + 1):
+        value = 0
+        for kind, y, h, w in audio.FILTERS:
+            area = lambda t0, n, y0, m: sum(c[t + t0 + i, y0 + j] for i in range(n) for j in range(m))  # noqa: B023, E731
+            if kind == 0:
+                a, b = area(0, w // 2, y, h), area(w // 2, w - w // 2, y, h)
+            elif kind == 1:
+                a, b = area(0, w, y, h // 2), area(0, w, y + h // 2, h - h // 2)
+            elif kind == 2:
+                a = area(0, w // 2, y, h // 2) + area(w // 2, w - w // 2, y + h // 2, h - h // 2)
+                b = area(w // 2, w - w // 2, y, h // 2) + area(0, w // 2, y + h // 2, h - h // 2)
+            else:
+                a, b = area(w // 4, w // 2, y, h), area(0, w // 4, y, h) + area(w // 4 + w // 2, w - w // 4 - w // 2, y, h)
+            step = sum(math.log1p(max(a, 0)) - math.log1p(max(b, 0)) >= x for x in audio.THRESHOLDS)
+            value = value << 2 | (0, 1, 3, 2)[step]
+        out.append(value)
+    return out
+
+
+def plain_match(a, b, most_error=0.15, least_overlap=32):
+    """(offset, votes, overlap, bit error) or None, by counting at every offset and trying every stretch."""
+    found = []
+    for offset in range(1 - len(a), len(b)):
+        both = [(a[i], b[i + offset]) for i in range(len(a)) if 0 <= i + offset < len(b)]
+        wrong = [bin(x ^ y).count("1") for x, y in both]
+        found.append((-wrong.count(0), sum(wrong) / len(wrong), offset, wrong))
+    votes, _, offset, wrong = min(found, key=lambda x: x[:3])
+    if not votes:
+        return None
+    fits = [(i, j) for i in range(len(wrong)) for j in range(i + 1, len(wrong) + 1) if sum(wrong[i:j]) <= most_error * 32 * (j - i) + 1e-6]
+    i, j = max(fits, key=lambda x: (x[1] - x[0], -x[0]))
+    return (offset, -votes, j - i, round(sum(wrong[i:j]) / 32 / (j - i), 6)) if j - i >= min(least_overlap, len(a), len(b)) else None
+
+
+def test_audio_by_brute_force(spark):
     rng = np.random.default_rng(2)
-    t = np.arange(12000)
-    tune = np.concatenate([np.sin(2 * np.pi * f * np.arange(600) / audio.RATE) for f in rng.choice([55, 82, 110, 131, 165, 220, 247], 20)])
-    pcm = lambda x: (128 + 60 * x).astype(np.uint8)
-    noise = rng.normal(0, 1, len(t))
-    rows = [(0, pcm(tune)), (1, pcm(tune)), (2, pcm(np.r_[np.sin(t[:1280] * 1.1), tune])), (3, pcm(np.clip(noise, -2, 2))), (4, pcm(np.clip(tune + rng.normal(0, 0.01, len(tune)), -1.5, 1.5)))]
-    df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in rows] + [(5, None)], "doc_id long, pcm binary")
-    members, pairs = audio.matches(common.settled(audio.fingerprints(df)), F.col("id") == 1)
-    assert {r.id: r.class_id for r in members.collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5}
-    got = {r.match_id: r for r in pairs.collect()}
-    prints = {i: audio.prints(x) for i, x in rows}
+    pcm = lambda x: (128 + 50 * np.clip(x, -2, 2)).astype(np.uint8)
+    song, other = tune(rng), tune(rng, 12)
+    sounds = {
+        0: song, 1: song, 2: np.r_[np.sin(np.arange(1280) * 1.1), song], 3: rng.normal(0, 1, 9000), 4: song + rng.normal(0, 0.1, len(song)),
+        5: song + rng.normal(0, 0.2, len(song)), 6: song[16:], 7: song[32:], 8: song[4000:8000], 9: np.r_[other, song[3000:9000], tune(rng, 5)],
+        10: np.zeros(5000), 11: np.zeros(9000), 12: other, 13: np.zeros(300), 14: np.zeros(200), 16: tune(rng, 30),
+    }
+    rows = [(i, bytearray(pcm(x).tobytes())) for i, x in sounds.items()] + [(15, None), (None, bytearray(pcm(song).tobytes()))]
+    df = spark.createDataFrame(rows, "doc_id long, pcm binary")
+    members, pairs = audio.matches(common.settled(audio.fingerprints(df)), F.col("id").isin(1, 10, 12))
+    prints = {i: audio.prints(np.frombuffer(bytes(p or b""), np.uint8)).tolist() for i, p in rows}
+    for i in (4, 8, 13):
+        assert prints[i] == plain_prints(np.frombuffer(bytes(dict(rows)[i]), np.uint8))
+    least = {}
+    for i, p in sorted((i, tuple(p)) for i, p in prints.items() if i is not None):
+        least.setdefault(p, i)
+    assert least[tuple(prints[13])] == least[tuple(prints[14])] == 13  # other bytes, the same prints
     want = {}
-    for i in (2, 3, 4):
-        offset, votes, overlap, error = audio.align(prints[0], prints[i])
-        if votes >= math.ceil(len(prints[0]) / 2) and error <= 0.2:
-            want[i] = (offset, votes, overlap)
-    assert {i: (r.offset, r.votes, r.overlap) for i, r in got.items()} == want
-    assert want[2][0] == 1280 // audio.HOP
+    for q in {least[tuple(prints[i])] for i in (1, 10, 12)}:
+        for m in set(least.values()) - {q}:
+            if (fit := plain_match(prints[q], prints[m])) is not None:
+                want[q, m] = fit
+    assert {(r.query_id, r.match_id): (r.offset, r.votes, r.overlap, round(r.bit_error, 6)) for r in pairs.collect()} == want
+    assert {(0, i) for i in (2, 4, 5, 6, 7, 8, 9)} <= set(want) and (0, 3) not in want and (0, 16) not in want
+    links = Counter(q for q, _ in want)
+    got = {(r.id, r.class_id, r.links) for r in members.collect()}
+    asks = {least[tuple(prints[i])] for i in (1, 10, 12)}
+    assert got == {(i, c := least[tuple(p)], links[c] if c in asks else None) for i, p in prints.items()}
+
+
+def test_audio_of_much_silence():
+    """Prints that repeat are counted by correlation: the same votes, and not the square of their number in steps."""
+    rng = np.random.default_rng(5)
+    for n, m in ((50, 70), (400, 300)):
+        a, b = (np.where(rng.random(k) < 0.9, 7, rng.integers(0, 50, k)).astype(np.uint32) for k in (n, m))
+        want = [sum(int(a[i] == b[i + o]) for i in range(n) if 0 <= i + o < m) for o in range(-n, m)]
+        assert audio.counted_votes(a, b).tolist() == want
+    long = np.full(200_000, 7, np.uint32)
+    assert audio.align(long, long)[:3] == (0, 200_000, 200_000)
+    assert audio.longest_stretch(np.array([1.0, 0, 0, 1, 0, 0, 0, 1]), 0.2) == (1, 6)
+
+
+def test_audio_with_a_print_in_all_recordings(spark):
+    """400 short recordings of different bytes but one and the same print are one class, without pairs."""
+    df = spark.createDataFrame([(i, bytearray([128] * (i + 1))) for i in range(400)], "doc_id long, pcm binary")
+    members, pairs = audio.matches(common.settled(audio.fingerprints(df)), F.col("id") % 100 == 0)
+    assert {(r.class_id, r.links) for r in members.collect()} == {(0, 0)} and pairs.count() == 0
