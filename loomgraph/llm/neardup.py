@@ -33,6 +33,7 @@ REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 BORDER = 2 * REGISTERS
 EMPTY = 0xFFFF
+ROW_BYTES = 1 << 16  # what a row weighs beside its text, so that blocks of short texts are bounded too
 _RNG = np.random.default_rng(11)
 _FUNCTIONS = _RNG.integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _DONORS = np.stack([_RNG.permutation(REGISTERS) for _ in range(REGISTERS)])
@@ -167,7 +168,7 @@ def chance(n: np.ndarray, m: np.ndarray, per: int) -> np.ndarray:
 
 
 def corrected(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of rows of registers whose chances of a collision are c."""
+    """Jaccard estimates of registers along the last axis, whose chances of a collision are c."""
     used = (a != EMPTY) | (b != EMPTY)
     share = ((a == b) & used).sum(-1) / np.maximum(used.sum(-1), 1)
     return (share - c) / (1 - c)
@@ -237,7 +238,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(likely("sa", "sb", "la", "lb", "na", "nb")).select("a", "b")
 
 
-def judged(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 2000, block_bytes: int = 4 << 20) -> DataFrame:
+def judged(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 2000, block_bytes: int = 16 << 20) -> DataFrame:
     """near_duplicates() with t, the hash that tells rows of one doc_id apart by their texts."""
     share = percent / 100
     least = share - 6 * (share * (1 - share) / REGISTERS) ** 0.5
@@ -260,7 +261,7 @@ def judged(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col:
     clusters = components(likely).select(F.col("node").alias("cid"), F.col("label").alias("key"))
     texts = texts_of(docs, clusters, classes, id_col, text_col)
     sizes = clusters.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    clusters = common.settled(clusters.join(sizes, "key").join(texts.select("cid", (F.octet_length("text") + F.lit(64)).alias("weight")), "cid"))
+    clusters = common.settled(clusters.join(sizes, "key").join(texts.select("cid", (F.octet_length("text") + F.lit(ROW_BYTES)).alias("weight")), "cid"))
     central = near.join(clusters.where("size > 4").select(F.col("cid").alias("b"), "weight"), "b")
     sure = common.settled(confirmed(central, texts, percent, block_bytes))
     open_ = split_members(clusters, by_centre(sure), "key")
@@ -274,7 +275,7 @@ def judged(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col:
     return out.select("doc_id", "t", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 2000, block_bytes: int = 4 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 2000, block_bytes: int = 16 << 20) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the least doc_id reachable by links), kept.
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of five-word shingles.
@@ -332,29 +333,59 @@ class Joined:
         return x != y
 
 
+def runs_of(batches, keys: list[str]):
+    """Tables of whole groups and the bounds of the groups in them, from batches sorted by keys."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        if not len(table):
+            continue
+        columns = [table.column(k).to_numpy() for k in keys]
+        bounds = np.r_[0, np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], 0)) + 1]
+        if len(bounds) > 1:
+            yield table.slice(0, bounds[-1]), bounds
+        rest = table.slice(bounds[-1])
+    if rest is not None and len(rest):
+        yield rest, np.array([0, len(rest)])
+
+
 def across(open_: DataFrame, classes: DataFrame, least: float, block: int) -> DataFrame:
     """Pairs (a, b) of members of one group whose estimates join its parts, no more than it takes in a block."""
-    rows = dealt(open_, block).join(classes.select("cid", "n", "small", "large"), "cid").select("key", "block", "batch", "cid", "label", "n", "small", "large", "asks")
+    keys = ["key", "block", "batch"]
+    rows = dealt(open_, block).join(classes.select("cid", "n", "small", "large"), "cid").select(*keys, "cid", "label", "n", "small", "large", "asks")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        found, parts = [], Joined()
+    def joins(table: pa.Table, bounds: np.ndarray) -> list[tuple[int, int]]:
+        cid, label, n = (table.column(c).to_numpy() for c in ("cid", "label", "n"))
+        asks, found = table.column("asks").to_numpy(), []
+        sides = []
         for kind, name in enumerate(("small", "large")):
-            mine = group[group[name].notna()].sort_values("cid")
-            asking, held = mine[mine.asks], mine[~mine.asks]
-            if not len(asking) or not len(held):
-                continue
-            regs, asked = (np.frombuffer(b"".join(x[name]), np.uint16).reshape(-1, REGISTERS) for x in (held, asking))
-            n, label, cid = held.n.to_numpy(), held.label.to_numpy(), held.cid.to_numpy()
+            column = table.column(name).combine_chunks()
+            at = np.flatnonzero(column.is_valid())
             per = REGISTERS if kind else 1
-            chances = hits(asking.n, per).T @ hits(n, per) / 1024
-            for i, x in enumerate(asking.itertuples()):
-                other = np.flatnonzero((label != x.label) & (np.minimum(n, x.n) >= least * np.maximum(n, x.n)))
-                if len(other):
-                    good = other[corrected(regs[other], asked[i], chances[i, other]) >= least]
-                    found += [(x.cid, cid[j]) for j in good if parts.join(x.label, label[j])]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    return rows.groupBy("key", "block", "batch").applyInPandas(compare, "a long, b long")
+            sides.append((at, np.frombuffer(b"".join(column.drop_null().to_pylist()), np.uint16).reshape(-1, REGISTERS), hits(n[at], per)))
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            parts = Joined()
+            for at, regs, chances in sides:
+                mine = np.arange(*np.searchsorted(at, (lo, hi)))
+                held, asking = mine[~asks[at[mine]]], mine[asks[at[mine]]]
+                if not len(held) or not len(asking):
+                    continue
+                step = max(1, (1 << 21) // (len(held) * REGISTERS))
+                for first in range(0, len(asking), step):
+                    some = asking[first : first + step]
+                    x, y = at[some], at[held]
+                    fits = (label[x][:, None] != label[y]) & (np.minimum(n[x][:, None], n[y]) >= least * np.maximum(n[x][:, None], n[y]))
+                    fits &= corrected(regs[some][:, None], regs[held], chances[:, some].T @ chances[:, held] / 1024) >= least
+                    found += [(cid[x[i]], cid[y[j]]) for i, j in zip(*np.nonzero(fits)) if parts.join(label[x[i]], label[y[j]])]
+        return found
+
+    def compare(batches):
+        for table, bounds in runs_of(batches, keys):
+            found = joins(table, bounds)
+            yield pa.record_batch([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
 
 
 def resolved(open_: DataFrame, texts: DataFrame, percent: int, block_bytes: int) -> DataFrame:
