@@ -94,16 +94,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return allot(sized, weights, share, most, seed, bucket_rows)
 
 
-def allot(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2, seed: str = "mix", bucket_rows: int = 500) -> DataFrame:
+def allot(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2, seed: str = "mix", bucket_rows: int = 500, sizes: DataFrame | None = None) -> DataFrame:
     """mix() on rows that have doc_id, source and size already; further columns are kept, but those that have the
-    name of a column of the result are replaced."""
+    name of a column of the result are replaced.  sizes: doc_id, source and size of the same rows, settled, so that
+    sums need not compute the rows anew."""
     result = ["doc_id", "size", "source_size", "target", "chance", "copies", "taken"]
     extra = [c for c in sized.columns if c not in (*result, "source")]
     rows = sized.select("doc_id", "source", "size", F.struct(F.lit(0).alias("_extra_"), *[F.col(f"`{c}`") for c in extra]).alias("extra"))
-    per = targets(rows, weights, share, most)
+    narrow = rows if sizes is None else sizes
+    per = targets(narrow, weights, share, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     per = per.withColumn("whole", F.floor(ratio)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    cells = common.settled(chances(rows, per))
+    cells = common.settled(chances(narrow, per))
     in_draw = (F.col("chance") > 0) & (F.col("chance") < 1)
     drawn = F.collect_list(F.when(in_draw, F.struct("docs", (F.col("chance") / (1 - F.col("chance"))).alias("odds"))))
     certain = F.sum(F.when(F.col("chance") == 1, F.col("words")).otherwise(0))
@@ -112,13 +114,19 @@ def allot(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2,
     per = per.join(cells.select(F.col("source_no").alias("no"), "class", "chance"), F.col("source_no") == F.col("no")).drop("no")
     if cells.count() <= BROADCAST_CELLS:
         per = F.broadcast(per)
-    own = rows.withColumn("own_class", size_class("size"))
-    named = own.join(per, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("own_class") == F.col("class")))
     u = uniform(F.col("doc_id"), seed)
     # How many of the source's documents are expected to rank lower: uniform, so buckets are of a size.
     lower = F.aggregate("mixture", F.lit(0.0), lambda s, x: s + x["docs"] * x["odds"] * F.col("rank") / (1 + x["odds"] * F.col("rank")))
-    ranked = named.where(in_draw).withColumn("rank", (u / (1 - u)) / (F.col("chance") / (1 - F.col("chance")))).withColumn("bucket", F.floor(lower / bucket_rows))
-    sums = ranked.groupBy("source_no", "bucket").agg(F.sum("size").alias("bucket_size"))
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("own_class", size_class("size")).join(per, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("own_class") == F.col("class")))
+
+    def in_buckets(rows: DataFrame) -> DataFrame:
+        rank = (u / (1 - u)) / (F.col("chance") / (1 - F.col("chance")))
+        return named(rows).where(in_draw).withColumn("rank", rank).withColumn("bucket", F.floor(lower / bucket_rows))
+
+    ranked = in_buckets(rows)
+    sums = in_buckets(narrow).groupBy("source_no", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source_no").alias("s_no"), F.col("bucket").alias("s_bucket"), F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("ahead"))
     ranked = ranked.join(sums, (F.col("source_no") == F.col("s_no")) & (F.col("bucket") == F.col("s_bucket")))
@@ -127,7 +135,7 @@ def allot(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2,
     picked = F.when((upto + upto - F.col("size")).cast("double") <= 2 * F.col("to_draw"), 1).otherwise(0)
     everything = [*[c for c in result[:5]], "whole", "extra"]
     ranked = ranked.withColumn("picked", picked).select(*everything, "picked")
-    sure = named.where(~in_draw).select(*everything, F.col("chance").cast("int").alias("picked"))
+    sure = named(rows).where(~in_draw).select(*everything, F.col("chance").cast("int").alias("picked"))
     out = ranked.unionByName(sure).withColumn("copies", (F.col("whole") + F.col("picked")).cast("long"))
     return out.select(*result[:6], (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"extra.`{c}`").alias(c) for c in extra])
 

@@ -296,43 +296,27 @@ def texts_of(docs: DataFrame, clusters: DataFrame, classes: DataFrame, id_col: s
 
 
 def split_members(members: DataFrame, labels: DataFrame, by: str) -> DataFrame:
-    """members (by, cid, weight) of the groups that labels leave in several parts, with label and main, the label of
-    the largest part (of equal ones the largest label); a member without a label is a part of its own."""
+    """members (by, cid, weight) of the groups that labels leave in several parts, as (key, cid, label, asks, whole,
+    asking): asks but for the largest part (of equal ones that of the largest label); whole and asking: the weight of
+    the group and of those in it that ask.  A member without a label is a part of its own."""
     named = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    per = named.groupBy(by, "label").agg(F.count(F.lit(1)).alias("k"))
-    top = per.groupBy(by).agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select(by, "main")
-    return common.settled(named.join(top, by).select(F.col(by).alias("key"), "cid", "weight", "label", "main"))
+    per = named.groupBy(by, "label").agg(F.count(F.lit(1)).alias("k"), F.sum("weight").alias("part"))
+    main = F.max(F.struct("k", "label", "part"))
+    top = per.groupBy(by).agg(main.alias("main"), F.sum("part").alias("whole"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    top = top.select(by, F.col("main.label").alias("main"), "whole", (F.col("whole") - F.col("main.part")).alias("asking"))
+    return common.settled(named.join(top, by).select(F.col(by).alias("key"), "cid", "label", (F.col("label") != F.col("main")).alias("asks"), "whole", "asking"))
 
 
 def dealt(open_: DataFrame, most: int) -> DataFrame:
     """(key, block, batch, cid, label, asks): members of a group dealt into blocks of weight `most`, once per batch of
-    those that ask; those outside the main part dealt into batches of weight `most`, asking, once per block."""
-    asking = F.col("label") != F.col("main")
-    per = open_.groupBy("key").agg(F.ceil(F.sum("weight") / most).alias("blocks"), F.ceil(F.sum(F.when(asking, F.col("weight"))) / most).alias("batches"))
-    rows = open_.join(per, "key")
+    those that ask; those that ask dealt into batches of weight `most`, once per block."""
+    rows = open_.withColumn("blocks", F.ceil(F.col("whole") / most)).withColumn("batches", F.ceil(F.col("asking") / most))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     held = rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn("batch", every("batches")).withColumn("asks", F.lit(False))
-    asks = rows.where(asking).withColumn("batch", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("batches"))).withColumn("block", every("blocks")).withColumn("asks", F.lit(True))
+    asks = rows.where("asks").withColumn("batch", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("batches"))).withColumn("block", every("blocks"))
     return held.unionByName(asks).select("key", "block", "batch", "cid", "label", "asks")
 
 
-class Joined:
-    """Union-find over labels; join() tells whether two were apart."""
-
-    def __init__(self):
-        self.up: dict = {}
-
-    def find(self, x: int) -> int:
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = x = self.up.get(y, y)
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.up[x] = y
-        return x != y
-
-
 def runs_of(batches, keys: list[str]):
     """Tables of whole groups and the bounds of the groups in them, from batches sorted by keys."""
     rest = None

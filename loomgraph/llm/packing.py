@@ -48,7 +48,6 @@ class Encoder:
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -58,7 +57,7 @@ class Encoder:
         special = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
         ranks = {bytes(byte_of[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.slow = Tokenizer.from_file(path)
+        self.path, self.slow = path, None
         self.blanks = re.compile(_BLANK + "{%d,}" % LONG_BLANK)
 
     def encode(self, text: str) -> list[int]:
@@ -74,6 +73,10 @@ class Encoder:
         encoded on its own, and so is what lies on either side; the ids are those of the whole text."""
         runs = list(self.blanks.finditer(text)) if len(text) >= LONG_BLANK else []
         ids, at = [], 0
+        if runs and self.slow is None:  # some hundred times the memory of most texts, so only where it is needed
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
         for run in runs:
             end = run.end() - (run.end() < len(text))
             ids += encode(text[at : run.start()])

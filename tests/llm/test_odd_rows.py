@@ -149,7 +149,8 @@ def test_a_large_group_without_links(spark):
 
 
 def test_blocks_and_batches_are_bounded(spark):
-    open_ = spark.range(100).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("cid"), F.lit(1).alias("weight"), F.col("id").alias("label"), F.lit(99).cast("long").alias("main"))
+    members = spark.range(100).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("cid"), F.lit(1).alias("weight"))
+    open_ = neardup.split_members(members, members.where("false").select(F.col("cid").alias("node"), F.col("cid").alias("label")), "key")
     rows = neardup.dealt(open_, 10).collect()
     sizes = Counter((r.block, r.batch) for r in rows)
     assert len(sizes) == 100 and max(sizes.values()) < 50
