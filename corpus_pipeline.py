@@ -56,7 +56,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no words; a null source is a source of its own; repeated rows are drawn alike.
     """
     sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.struct(*_columns(docs)).alias("row"))
-    return mixing.allot(sized).where("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
+    sizes = common.settled(sized.select("doc_id", "source", "size"))
+    return mixing.allot(sized, sizes=sizes).where("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
