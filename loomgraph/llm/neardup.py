@@ -317,6 +317,23 @@ def dealt(open_: DataFrame, most: int) -> DataFrame:
     return held.unionByName(asks).select("key", "block", "batch", "cid", "label", "asks")
 
 
+class Joined:
+    """Union-find over labels; join() tells whether two were apart."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[x] = y
+        return x != y
+
+
 def runs_of(batches, keys: list[str]):
     """Tables of whole groups and the bounds of the groups in them, from batches sorted by keys."""
     rest = None
