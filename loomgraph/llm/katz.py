@@ -289,6 +289,22 @@ def block_scores(rows: list[dict], unigrams: Unigrams, pairs: Discounts, hot: tu
     return {"ids": b.ids, "flags": b.flags, "n_tokens": b.counts, "n_known": add(b.c[b.word] > 0).astype(np.int64), "base_score": add(unigrams.base(b.c)[b.word]), "score": add(np.log10(chance)[b.pair])}
 
 
+def frequent_sums(answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(histories, their sums) of the very frequent ones, added up over the buckets before anything is collected: at
+    most HOT rows, as each has more than 1/HOT of all tokens."""
+    sums_ = [f"s{i}" for i in range(TOP + 2)]
+
+    def opened(batches):
+        for batch in batches:
+            for a, b in zip(batch.column(0), batch.column(1)):
+                table = expand(b.as_py(), np.float64).reshape(-1, TOP + 2)
+                yield pa.record_batch([pa.array(expand(a.as_py(), np.int64)), *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(TOP + 2))], names=["h", *sums_])
+
+    rows = answers.where(F.col("kind") == HOT_SUMS).select("a", "b").mapInArrow(opened, ", ".join(["h long", *(f"{c} double" for c in sums_)]))
+    found = rows.groupBy("h").agg(*[F.sum(c).alias(c) for c in sums_]).orderBy("h").toPandas()
+    return found["h"].to_numpy(np.int64), found[sums_].to_numpy(np.float64).reshape(-1, TOP + 2)
+
+
 def total_stats(rows: DataFrame) -> np.ndarray:
     got = rows.where(F.col("kind") == STATS).agg(*[F.sum(F.element_at("stats", i + 1)) for i in range(TOP + 3)]).first()
     return np.array([x or 0 for x in got], np.int64)
@@ -324,12 +340,7 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
 
     answers = common.settled(asked().groupBy("deal").applyInArrow(answer, ROW))
     pairs = Discounts.fitted(np.r_[0, total_stats(answers)[2 : TOP + 3]].astype(float))
-    found = answers.where(F.col("kind") == HOT_SUMS).select("a", "b").toPandas()  # at most HOT histories a bucket's share
-    hot_h = np.concatenate([np.zeros(0, np.int64), *(expand(a, np.int64) for a in found["a"])])
-    hot_t = np.concatenate([np.zeros((0, TOP + 2)), *(expand(b, np.float64).reshape(-1, TOP + 2) for b in found["b"])])
-    names, of = np.unique(hot_h, return_inverse=True)
-    hot_sums = np.zeros((len(names), TOP + 2))
-    np.add.at(hot_sums, of, hot_t)
+    names, hot_sums = frequent_sums(answers)
 
     def finish(group: pa.Table) -> pa.Table:
         s = block_scores(group.to_pylist(), unigrams, pairs, (names, hot_sums), buckets)
