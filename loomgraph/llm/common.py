@@ -30,10 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to or context._jsc.sc().getCheckpointDir().get()
 
 
+#: Spark's setting that an execution's shuffle files go when it has ended.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept on shared storage: a lost executor costs a read, not the job before it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df computed once and kept on shared storage: a lost executor costs a read, not the job before it.
+
+    What was shuffled for it is not needed again, as all that follows reads the kept table, and goes at once.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        return df.select("*").checkpoint()  # a plan made under the setting
+    finally:
+        spark.conf.set(TIDY, before)
 
 
 # ---------------------------------------------------------------- words of Arrow text, without Python strings
