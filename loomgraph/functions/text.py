@@ -57,10 +57,11 @@ ABBREVIATIONS = {
 STEM_RULES = [("ies", "y"), ("ied", "y"), ("ying", "y"), ("ing", ""), ("ed", ""), ("er", ""), ("est", ""), ("s", "")]
 
 # Stop words.
-STOP_WORDS = (
-    "the a an and or but in on at to for of with by is are was were be been have has had do does did will would "
-    "this that these those i you he she it we they me him her us them"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are",
+    "was", "were", "be", "been", "have", "has", "had", "do", "does", "did", "will", "would", "this", "that",
+    "these", "those", "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them",
+]
 
 
 def tokens(text: Column) -> Column:
@@ -68,6 +69,11 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
+def token_count(text: Column) -> Column:
+    """How many tokens a text has, without making them."""
+    return F.coalesce(F.regexp_count(F.lower(text), F.lit(TOKEN)), F.lit(0)).cast("long")
+
+
 def quoted(name: Column) -> Column:
     """name as a literal inside a regular expression."""
     return F.concat(F.lit(r"\Q"), F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .search import stated
+
 
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -27,14 +29,51 @@ def may_reach(a: Column, b: Column, least: float) -> Column:
     return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b)) - 1e-9
 
 
+def letters(text: Column) -> Column:
+    """The characters of a text with their counts so far, those that occur often first: two texts have as many of these
+    in common as characters, each counted as often as both have it."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    counted = F.transform(chars, lambda c, i: F.struct((-F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c))).alias("k"), c.alias("c")))
+    return F.transform(F.array_sort(counted), lambda x: F.concat(x["k"].cast("string"), x["c"]))
+
+
+def similar(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(t, w): the pairs of texts of left (t) and right (w) that may reach that ratio, above 0, and more than those.
+
+    The ratio is at most 2 o / (|t| + |w|), o the characters in common, so o is at least r / (2 - r) of either length.
+    Two texts whose letters are in one order and that have so many in common share one of the first |t| - o + 1 of t
+    and |w| - o + 1 of w: they meet in a join on those, and no text is compared with all others.
+    """
+    if least <= 0:
+        raise ValueError("the least ratio must be above 0")
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(name).distinct().withColumn(f"{name}_letters", letters(F.col(name)))
+        n = F.size(f"{name}_letters")
+        return rows.withColumn("key", F.explode(F.slice(f"{name}_letters", 1, n - F.ceil(n * (least / (2 - least)) - 1e-9).cast("int") + 1)))
+
+    both = keyed(left, "t").join(keyed(right, "w"), "key").where(may_reach(F.col("t"), F.col("w"), least))
+    shared = F.size(F.array_intersect("t_letters", "w_letters"))
+    return both.where(2 * shared >= least * (F.length("t") + F.length("w")) - 1e-9).select("t", "w").distinct()
+
+
+def containing(longer: DataFrame, shorter: DataFrame) -> DataFrame:
+    """(longer, shorter): the pairs of longer (longer) and shorter (shorter), of three characters or more, that the one
+    contains: they meet in a join of the shorter one's first three characters with all runs of three of the longer."""
+    grams = F.transform(F.sequence(F.lit(1), F.length("longer") - 2), lambda i: F.substr("longer", i, F.lit(3)))
+    runs = longer.select("longer").distinct().where(F.length("longer") > 2).withColumn("gram", F.explode(F.array_distinct(grams)))
+    heads = shorter.select("shorter").distinct().where(F.length("shorter") > 2).withColumn("gram", F.substring("shorter", 1, 3))
+    return runs.join(heads, "gram").where(F.col("longer").contains(F.col("shorter"))).select("longer", "shorter")
+
+
 def suggestions(words: DataFrame, prefixes: DataFrame, k: int = 10, case_sensitive: bool = False, inside: bool = False) -> DataFrame:
     """(prefix, rank, word): the first k words in order that start with (inside: contain) each prefix.
 
-    prefixes are few and broadcast; an empty prefix matches all words.
+    prefixes are a stated set against all words, of bounded size; an empty prefix matches all words.
     """
     fold = (lambda c: F.col(c)) if case_sensitive else (lambda c: F.lower(c))
     hit = fold("word").contains(fold("prefix")) if inside else fold("word").startswith(fold("prefix"))
-    rows = words.select("word").distinct().join(F.broadcast(prefixes.select("prefix").distinct()), hit)
+    rows = words.select("word").distinct().join(stated(prefixes.select("prefix").distinct()), hit)
     order = Window.partitionBy("prefix").orderBy("word")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("prefix", "rank", "word")
 
@@ -42,11 +81,12 @@ def suggestions(words: DataFrame, prefixes: DataFrame, k: int = 10, case_sensiti
 def validated(ids: DataFrame, words: DataFrame, k: int = 5, cutoff: float = 0.3) -> DataFrame:
     """(code_identifier, is_valid, matching_identifiers): known identifiers; else the k most similar words.
 
-    Words that contain the identifier count even below the cutoff.  ids must be few: they are broadcast.
+    Words that contain the identifier count even below the cutoff.  ids are a stated set against all words, of bounded
+    size.
     """
     known = words.select(F.col("word").alias("code_identifier")).distinct().withColumn("is_valid", F.lit(True))
     rows = ids.select("code_identifier").distinct().join(known, "code_identifier", "left").withColumn("is_valid", F.coalesce("is_valid", F.lit(False)))
-    asked = F.broadcast(rows.where("NOT is_valid").select("code_identifier"))
+    asked = stated(rows.where("NOT is_valid").select("code_identifier"))
     inside = F.lower("word").contains(F.lower("code_identifier"))
     pairs = words.select("word").distinct().join(asked, inside | may_reach(F.col("word"), F.col("code_identifier"), cutoff))
     pairs = pairs.withColumn("ratio", similarity("code_identifier", "word")).where((F.col("ratio") >= cutoff) | inside)
@@ -86,8 +126,8 @@ def extracted(texts: DataFrame, words: DataFrame, mapped: DataFrame | None = Non
 
     Exact matches (mapped: alias, word stand for words) first; then substrings and subpaths, then similar words, each
     the best pair first with every word and token used once: that is a sequential choice, made per text.  per_word
-    keeps so many matches a word: exact before substring before fuzzy, then by score.  words are broadcast: a
-    vocabulary, not a corpus.
+    keeps so many matches a word: exact before substring before fuzzy, then by score.  Pairs to look at come from
+    joins on shared characters, so neither texts nor words need be few.
     """
     fold = (lambda c: c) if case_sensitive else F.lower
     tokens = text_tokens(texts, dotted).withColumn("t", fold(F.col("token")))
@@ -95,15 +135,21 @@ def extracted(texts: DataFrame, words: DataFrame, mapped: DataFrame | None = Non
     names = vocabulary.select("w", "word")
     if mapped is not None:
         names = names.unionByName(mapped.select(fold(F.col("alias")).alias("w"), "word"))
-    exact = tokens.join(F.broadcast(names), F.col("t") == F.col("w")).groupBy("text_id", "word").agg(F.min_by("token", "place").alias("token")).withColumn("match_type", F.lit("exact")).withColumn("score", F.lit(1.0))
-    used = tokens.join(F.broadcast(names.select(F.col("w").alias("t")).distinct()), "t", "left_semi").select("text_id", "token")
+    exact = tokens.join(names, F.col("t") == F.col("w")).groupBy("text_id", "word").agg(F.min_by("token", "place").alias("token")).withColumn("match_type", F.lit("exact")).withColumn("score", F.lit(1.0))
+    used = tokens.join(names.select(F.col("w").alias("t")).distinct(), "t", "left_semi").select("text_id", "token")
     free_tokens = tokens.join(used, ["text_id", "token"], "left_anti")
     t, w = F.col("t"), F.col("w")
     near = F.length(t) > 2
     path = w.contains("/") & t.contains("/")
     inner = near & (t != w) & w.contains(t) & F.when(path, subpath(w, t)).otherwise(substring(w, t))
     outer = near & (t != w) & t.contains(w) & F.when(path, subpath(t, w)).otherwise(substring(t, w))
-    pairs = free_tokens.join(F.broadcast(vocabulary), inner | outer | may_reach(t, w, threshold))
+    words_ = vocabulary.select("w")
+    as_ = lambda df, name: df.select(F.col(df.columns[0]).alias(name))
+    free = free_tokens.select("t").distinct()
+    met = similar(free, words_, threshold)
+    met = met.unionByName(containing(as_(words_, "longer"), as_(free, "shorter")).select(F.col("shorter").alias("t"), F.col("longer").alias("w")))
+    met = met.unionByName(containing(as_(free, "longer"), as_(words_, "shorter")).select(F.col("longer").alias("t"), F.col("shorter").alias("w"))).distinct()
+    pairs = free_tokens.join(met, "t").join(vocabulary, "w").where(inner | outer | may_reach(t, w, threshold))
     pairs = pairs.join(exact.select("text_id", "word"), ["text_id", "word"], "left_anti")
     kind = F.when(inner, F.when(path, "subpath").otherwise("substring")).when(outer, F.when(path, "reverse_subpath").otherwise("reverse_substring"))
     cover = F.least(F.length(t), F.length(w)) / F.greatest(F.length(t), F.length(w))

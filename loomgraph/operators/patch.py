@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import blocks as B
 
-SECTIONS = ("*** End Patch", "*** Update File:", "*** Delete File:", "*** Add File:")
 CHANGES = "patch_id long, path string, action string, new_content string, move_path string, error string"
 
 

@@ -18,13 +18,16 @@ def resolve_imports(imports: DataFrame, elements: DataFrame) -> DataFrame:
     """
     known = elements.where("kind IN ('class', 'function', 'variable')").select(F.col("unique_id").alias("definition_id")).distinct().withColumn("known", F.lit(True))
     hop = imports.groupBy(F.col("unique_id").alias("definition_id"), "file_path").agg(F.min("definition_id").alias("hop_to"))
-    hops = hop.groupBy("definition_id").agg(F.array_sort(F.collect_list(F.struct("file_path", "hop_to"))).alias("hops"))
-    rows = imports.join(known, "definition_id", "left").join(hops, "definition_id", "left")
-    other = F.get(F.filter("hops", lambda h: h["file_path"] != F.col("file_path")), F.lit(0))["hop_to"]
+    first = hop.groupBy("definition_id").agg(F.min(F.struct("file_path", "hop_to")).alias("first"))
+    # Of the files that import a name only the first two can be the first other one.
+    rest = hop.join(first, "definition_id").where(F.col("file_path") != F.col("first.file_path"))
+    second = rest.groupBy("definition_id").agg(F.min(F.struct("file_path", "hop_to")).alias("second"))
+    rows = imports.join(known, "definition_id", "left").join(first, "definition_id", "left").join(second, "definition_id", "left")
+    other = F.when(F.col("first.file_path") != F.col("file_path"), F.col("first.hop_to")).otherwise(F.col("second.hop_to"))
     resolved = F.when(F.col("known"), F.col("definition_id")).otherwise(other)
     rows = rows.withColumn("_to", resolved)
     outside = import_id(F.col("source"), F.col("name"))
-    return rows.withColumn("unique_id", F.when(F.col("_to").isNull(), outside).otherwise(F.col("unique_id"))).withColumn("definition_id", F.col("_to")).drop("known", "hops", "_to")
+    return rows.withColumn("unique_id", F.when(F.col("_to").isNull(), outside).otherwise(F.col("unique_id"))).withColumn("definition_id", F.col("_to")).drop("known", "first", "second", "_to")
 
 
 def other_imports(imports: DataFrame, file_path: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Lexical search: inverted index, BM25 with TF-IDF, exact matches, fused query variations, maintenance.
 
-The index is three tables: postings (doc_key, term, tf, dl), terms (term, df, idf) and corpus (n, avgdl).
-Scoring probes the postings with the query's terms, which are few; statistics always follow the documents, so there
-is no stale IDF after an update.
+The index is three tables: postings (doc_key, term, tf, dl), lengths (doc_key, dl) and, where it is kept, dfs (term,
+df).  Scoring probes the postings with the query's terms, which are few.  An index that is updated counts document
+frequencies anew for the terms asked for, so there is no stale IDF.
 """
 
 from __future__ import annotations
@@ -16,19 +16,22 @@ from loomgraph.functions import text as T
 
 K1, B = 1.5, 0.75
 BM25_SHARE, TFIDF_SHARE = 0.7, 0.3
+MOST_ASKED = 10_000  # rows of a stated set that is broadcast
 
 
 @dataclass
 class Index:
     postings: DataFrame
     lengths: DataFrame
+    dfs: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
         """From one row per document; a null text has no tokens but counts as a document."""
         words = docs.select(F.col(key).alias("doc_key"), T.tokens(F.col(text)).alias("words")).withColumn("dl", F.size("words").cast("long"))
         exploded = words.select("doc_key", "dl", F.explode("words").alias("term"))
-        return cls(exploded.groupBy("doc_key", "term", "dl").agg(F.count(F.lit(1)).alias("tf")).select("doc_key", "term", "tf", "dl"), words.select("doc_key", "dl"))
+        lengths = docs.select(F.col(key).alias("doc_key"), T.token_count(F.col(text)).alias("dl"))
+        return cls(exploded.groupBy("doc_key", "term", "dl").agg(F.count(F.lit(1)).alias("tf")).select("doc_key", "term", "tf", "dl"), lengths)
 
     @property
     def corpus(self) -> DataFrame:
@@ -37,21 +40,30 @@ class Index:
     @property
     def terms(self) -> DataFrame:
         n = self.corpus.select("n").scalar()
-        return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(n / F.col("df")))
+        return self.document_frequencies(self.postings).withColumn("idf", F.log(n / F.col("df")))
 
-    @property
-    def inverted(self) -> DataFrame:
-        """term, docs: the keys in order."""
-        return self.postings.groupBy("term").agg(F.array_sort(F.collect_list("doc_key")).alias("docs"))
+    def document_frequencies(self, postings: DataFrame) -> DataFrame:
+        """(term, df) of the terms of postings, a part of this index's."""
+        if self.dfs is not None:
+            return self.dfs
+        return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+    def inverted(self, block: int = 1 << 17) -> DataFrame:
+        """(term, block, docs): the keys in order, whole numbers, in lists of those of one block of keys, so that the
+        list of a term that all documents have is many rows."""
+        place = F.floor(F.col("doc_key") / block).alias("block")
+        return self.postings.groupBy("term", place).agg(F.array_sort(F.collect_list("doc_key")).alias("docs"))
 
     def save(self, path: str, buckets: int = 16) -> None:
         """Postings sorted by term, so that a probe reads few row groups."""
         self.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        kept = self.lengths.sparkSession.read.parquet(f"{path}/postings")
+        kept.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/dfs")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "dfs")))
 
     def without(self, keys: DataFrame) -> Index:
         """Without the documents of keys (doc_key)."""
@@ -70,7 +82,7 @@ class Index:
         """
         asked = queries.select("qid", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
         probed = self.postings.join(asked.select("term").distinct(), "term", "left_semi")
-        df = probed.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        df = self.document_frequencies(probed)
         n, avgdl = self.corpus.select("n").scalar(), self.corpus.select("avgdl").scalar()
         idf = F.log(n / F.col("df"))
         bm25 = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
@@ -97,6 +109,13 @@ class Index:
         return self.corpus.select(F.col("n").alias("n_docs"), F.round("avgdl", 6).alias("avg_length"), self.postings.select(F.count_distinct("term")).scalar().alias("n_terms"))
 
 
+def stated(asked: DataFrame) -> DataFrame:
+    """A stated set of questions to broadcast, after its size was checked."""
+    if len(asked.take(MOST_ASKED + 1)) > MOST_ASKED:
+        raise ValueError(f"more than {MOST_ASKED} rows were asked for at once")
+    return F.broadcast(asked)
+
+
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """The k best rows of each qid; Spark keeps k per task before it shuffles."""
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "doc_key")
@@ -106,10 +125,11 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
 def exact_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(qid, doc_key, score): occurrences of the whole query in the text, both lower-cased, over its length + 1.
 
-    queries must be few: they are broadcast.  An empty query matches nothing.
+    The queries are a stated set against all documents, of at most MOST_ASKED; more are an error.  An empty query
+    matches nothing.
     """
     docs = docs.select(F.col(key).alias("doc_key"), F.lower(text).alias("text"))
-    asked = F.broadcast(queries.select("qid", F.lower("query").alias("query")).where("query <> ''"))
+    asked = stated(queries.select("qid", F.lower("query").alias("query")).where("query <> ''"))
     hits = docs.join(asked, F.col("text").contains(F.col("query")))
     return hits.select("qid", "doc_key", (T.substring_count(F.col("text"), F.col("query")) / (F.length("text") + 1)).alias("score"))
 

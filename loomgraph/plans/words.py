@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import blocks as B
 from loomgraph.functions import text as T
 from loomgraph.operators import patch as P
+from loomgraph.sources.shared import shared_dir
 from loomgraph.streaming import markers as M
 
 from .base import query, table
@@ -39,7 +42,7 @@ def abbrev_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, lower(regexp_replace(name, '([a-z])([A-Z])', '\\1 \\2', 'g')) AS camel, array_to_string(list_filter(regexp_split_to_array(lower(name), '[_\\-]+'), lambda x: x <> ''), ' ') AS snake FROM (SELECT p_partkey, 'get' || upper(p_name[1:1]) || replace(p_name[2:], ' ', '_') || 'By-' || p_type AS name FROM part)")
 def camel_snake_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.lit("get"), F.upper(F.substring("p_name", 1, 1)), F.replace(F.substring("p_name", 2, 999), F.lit(" "), F.lit("_")), F.lit("By-"), "p_type")
+    name = F.concat(F.lit("get"), F.upper(F.substring("p_name", 1, 1)), F.replace(F.expr("substring(p_name, 2)"), F.lit(" "), F.lit("_")), F.lit("By-"), "p_type")
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.camel_words(name), " ").alias("camel"), F.array_join(T.snake_words(name), " ").alias("snake"))
 
 
@@ -86,19 +89,32 @@ def block_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.size("b").cast("long").alias("n"), F.element_at("b", 1).alias("block"))
 
 
-@query("SELECT conv_id, turn, turn::INT AS step, 'turn of ' || role AS description, regexp_extract(text, '^[^\\s]+') AS instructions, role || ',' || conv_id AS context_ids, 'c' || conv_id AS modify_ids FROM conversations")
+_TRIM = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
+_LINES = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: x <> '')"
+
+
+@query(f"SELECT conv_id, turn, turn::INT AS step, 'turn of ' || role AS description, {_TRIM.format('array_to_string(' + _LINES + ', chr(10))')} AS instructions, role || ',' || conv_id AS context_ids, 'c' || conv_id AS modify_ids FROM conversations")
 def steps_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").withColumn("word", F.regexp_extract("text", r"^[^\s]+", 0))
-    md = F.concat(F.lit("x\n*** Begin Steps\n"), F.col("turn").cast("string"), F.lit(". **turn of "), "role", F.lit("**\n   **instructions**: "), "word", F.lit("\n   **context_identifiers**:\n     - "), "role", F.lit("\n     - "), F.col("conv_id").cast("string"), F.lit("\n   **modify_identifiers**:\n     - c"), F.col("conv_id").cast("string"), F.lit("\n---\n*** End Steps\ny"))
+    """A step whose instructions are the whole text of a turn."""
+    lines = F.filter(F.transform(F.split("text", "\n", -1), B.stripped), lambda x: x != "")
+    c = table(spark, sf_dir, "conversations").withColumn("body", F.array_join(lines, "\n"))
+    md = F.concat(F.lit("x\n*** Begin Steps\n"), F.col("turn").cast("string"), F.lit(". **turn of "), "role", F.lit("**\n   **instructions**: "), "body", F.lit("\n   **context_identifiers**:\n     - "), "role", F.lit("\n     - "), F.col("conv_id").cast("string"), F.lit("\n   **modify_identifiers**:\n     - c"), F.col("conv_id").cast("string"), F.lit("\n---\n*** End Steps\ny"))
     rows = c.select("conv_id", "turn", F.explode(B.steps(md)).alias("s"))
     return rows.select("conv_id", "turn", "s.step", "s.description", "s.instructions", F.array_join("s.context_identifiers", ",").alias("context_ids"), F.array_join("s.modify_identifiers", ",").alias("modify_ids"))
 
 
-@query("SELECT conv_id, turn, role, turn AS number, turn % 2 = 0 AS even, regexp_extract(text, '^[^\\s]+') AS item FROM conversations")
+@query(f"SELECT conv_id, turn, role, turn AS number, turn % 2 = 0 AS even, array_to_string({_LINES}, '|') AS items FROM conversations")
 def field_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").withColumn("word", F.regexp_extract("text", r"^[^\s]+", 0))
-    t = F.concat(F.lit("ROLE: ["), "role", F.lit("]\nNUMBER: "), F.col("turn").cast("string"), F.lit("\nEVEN: "), F.when(F.col("turn") % 2 == 0, "True").otherwise("False"), F.lit("\n- "), "word", F.lit("\n"))
-    return c.select("conv_id", "turn", B.named_value(t, "ROLE").alias("role"), B.field(t, r"NUMBER: (\d+)", "int").alias("number"), B.field(t, r"EVEN: (\w+)", "bool").alias("even"), F.element_at(B.list_items(t), 1).alias("item"))
+    """Fields before, and a list made of, all lines of a turn's text."""
+    c = table(spark, sf_dir, "conversations").withColumn("body", F.regexp_replace("text", "(?m)^", "- "))
+    t = F.concat(F.lit("ROLE: ["), "role", F.lit("]\nNUMBER: "), F.col("turn").cast("string"), F.lit("\nEVEN: "), F.when(F.col("turn") % 2 == 0, "True").otherwise("False"), F.lit("\n"), "body", F.lit("\n"))
+    return c.select("conv_id", "turn", B.named_value(t, "ROLE").alias("role"), B.field(t, r"NUMBER: (\d+)", "int").alias("number"), B.field(t, r"EVEN: (\w+)", "bool").alias("even"), F.array_join(B.list_items(t), "|").alias("items"))
+
+
+@query("SELECT doc_id AS patch_id, '*** Begin Patch' || chr(10) || '*** Update File: d' || doc_id || chr(10) || ' ' || string_split(text, chr(10))[1] || chr(10) || '+added ' || coalesce(lang, '?') || chr(10) || '*** Add File: n' || doc_id || chr(10) || '+new' || chr(10) || '*** End Patch' AS lines FROM documents")
+def patch_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a patch inside other text."""
+    return _patches(spark, sf_dir).select("patch_id", B.patch_lines(F.col("text")).alias("lines"))
 
 
 def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,18 +152,11 @@ def marker_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id || '/' || turn AS session_id, text || chr(10) AS raw_content FROM conversations")
 def marker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through a stream, with the state of each session kept between micro-batches."""
-    import uuid
-
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or _local()}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     _sessions(spark, sf_dir, 200).repartition(2).write.parquet(f"{folder}/in")
     chunks = spark.readStream.schema("session_id string, seq long, chunk string").parquet(f"{folder}/in")
     out = M.stream_blocks(chunks, idle_ms=None).where("marker_id = 'commit'").select("session_id", "raw_content")
     done = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    done.awaitTermination(600)
+    done.awaitTermination()  # ends when all that was there is read; a failure raises
     return spark.read.schema("session_id string, raw_content string").parquet(f"{folder}/out")
 
-
-def _local() -> str:
-    import tempfile
-
-    return "file://" + tempfile.mkdtemp(prefix="loomgraph-")

@@ -36,17 +36,16 @@ LANGUAGES = {
 }
 
 # Endings of names of files that are not text.
-SKIPPED = (
-    ".png .jpg .jpeg .gif .bmp .tiff .tif .webp .heic .heif .ico .icns .psd .ai .eps "
-    ".mp3 .wav .flac .aac .ogg .m4a .wma .aiff "
-    ".mp4 .mkv .mov .avi .wmv .flv .webm .mpeg .mpg .3gp "
-    ".ttf .otf .woff .woff2 .eot "
-    ".zip .tar .gz .bz2 .xz .rar .7z .iso .dmg "
-    ".db .sqlite .sqlite3 .mdb .accdb .dbf .frm .myd .myi .ndf .ldf "
-    ".sys .dll .exe .bin .msi .obj .o .so .dylib .class .lock .tmp .log .bak .swp .swo .ds_store thumbs.db "
-    ".stl .fbx .blend .dae .3ds "
-    ".pdf .doc .docx .ppt .pptx .xls .xlsx .odt .ods .odp"
-).split()
+SKIPPED = [
+    ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tiff", ".tif", ".webp", ".heic", ".heif", ".ico", ".icns",
+    ".psd", ".ai", ".eps", ".mp3", ".wav", ".flac", ".aac", ".ogg", ".m4a", ".wma", ".aiff", ".mp4", ".mkv",
+    ".mov", ".avi", ".wmv", ".flv", ".webm", ".mpeg", ".mpg", ".3gp", ".ttf", ".otf", ".woff", ".woff2",
+    ".eot", ".zip", ".tar", ".gz", ".bz2", ".xz", ".rar", ".7z", ".iso", ".dmg", ".db", ".sqlite", ".sqlite3",
+    ".mdb", ".accdb", ".dbf", ".frm", ".myd", ".myi", ".ndf", ".ldf", ".sys", ".dll", ".exe", ".bin", ".msi",
+    ".obj", ".o", ".so", ".dylib", ".class", ".lock", ".tmp", ".log", ".bak", ".swp", ".swo", ".ds_store",
+    "thumbs.db", ".stl", ".fbx", ".blend", ".dae", ".3ds", ".pdf", ".doc", ".docx", ".ppt", ".pptx", ".xls",
+    ".xlsx", ".odt", ".ods", ".odp",
+]
 
 #: What stands for the content of a file that is not text.
 PLACEHOLDER = "< suppressed bytes content >"
@@ -77,15 +76,15 @@ def scan(spark: SparkSession, root: str, languages: list[str] | None = None, kee
     """files (path, language, mtime, length, raw, is_text) below root; paths are relative to it.
 
     keep restricts to listed paths, such as those of git_paths.  Content that is not UTF-8, or whose name says it
-    is no text, has a placeholder.  Languages filter before content is decoded.
+    is no text, has a placeholder.  Languages filter before content is decoded.  A file that can't be read is an error.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(root)
-    path = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    path = F.regexp_replace(F.col("path"), rf"^.*?\Q{root.rstrip('/')}\E/", "")
     files = found.select(path.alias("path"), F.col("modificationTime").alias("mtime"), "length", "content").withColumn("language", language(F.col("path")))
     if languages:
         files = files.where(F.col("language").isin(*languages))
     if keep is not None:
-        files = files.join(F.broadcast(spark.createDataFrame([(p,) for p in keep], "path string")), "path", "left_semi")
+        files = files.join(spark.createDataFrame([(p,) for p in keep], "path string"), "path", "left_semi")
     text = F.when(~skipped(F.col("path")), F.try_validate_utf8(F.col("content").cast("string")))
     return files.withColumn("is_text", text.isNotNull()).select("path", "language", "mtime", "length", F.coalesce(text, F.lit(PLACEHOLDER)).alias("raw"), "is_text")
 

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 PARAMETER = "struct<name: string, type_hint: string, default_value: string, is_optional: boolean>"
 ELEMENTS = f"unique_id string, kind string, file_path string, parent_id string, name string, raw string, docstring string, type_hint string, value string, modifiers array<string>, decorators array<string>, bases array<string>, parameters array<{PARAMETER}>, return_type string, hints array<string>, ordinal int"
 IMPORTS = "unique_id string, file_path string, source string, name string, alias string, import_type string, definition_id string, as_dependency string, raw string, ordinal int"
 FIELDS = [c.strip().split(" ")[0] for c in ELEMENTS.replace(PARAMETER, "p").split(", ")]
-IMPORT_FIELDS = [c.split(" ")[0] for c in IMPORTS.split(", ")]
+LONGEST = 40  # pieces tried as one where a file has errors
 
 
 def stem(path: str) -> str:
@@ -27,6 +30,7 @@ class Reader(ast.NodeVisitor):
         self.path, self.source, self.stem = path, source, stem(path)
         self.elements: list[dict] = []
         self.imports: list[dict] = []
+        self.taken: set[str] = set()
 
     def text(self, node: ast.AST | None, decorated: bool = False) -> str | None:
         if node is None:
@@ -38,12 +42,13 @@ class Reader(ast.NodeVisitor):
 
     def add(self, kind: str, name: str, parent: str | None, node: ast.AST, **more) -> str:
         unique = f"{parent or self.stem}.{name}"
-        taken = any(e["unique_id"] == unique for e in self.elements)
+        taken = unique in self.taken
         decorators = [f"@{self.text(d)}" for d in getattr(node, "decorator_list", ())]
         if taken and decorators:
             unique += "".join(decorators)
         row = dict.fromkeys(FIELDS) | {"unique_id": unique, "kind": kind, "file_path": self.path, "parent_id": parent, "name": name, "raw": self.text(node, True), "modifiers": [], "decorators": decorators, "bases": [], "parameters": [], "hints": [], "ordinal": len(self.elements)}
         self.elements.append(row | more)
+        self.taken.add(unique)
         return unique
 
     def visit_Import(self, node: ast.Import) -> None:
@@ -78,6 +83,9 @@ class Reader(ast.NodeVisitor):
         defaults = [None] * (len(args) - len(node.args.defaults)) + node.args.defaults
         pairs = [*zip(args, defaults), *zip(node.args.kwonlyargs, node.args.kw_defaults)]
         parameters = [{"name": a.arg, "type_hint": self.text(a.annotation), "default_value": self.text(d), "is_optional": d is not None} for a, d in pairs if not (parent and a.arg in ("self", "cls") and a.annotation is None)]
+        for stars, rest in (("*", node.args.vararg), ("**", node.args.kwarg)):
+            if rest is not None:
+                parameters.append({"name": stars + rest.arg, "type_hint": self.text(rest.annotation), "default_value": None, "is_optional": True})
         returns = self.text(node.returns)
         hints = [p["type_hint"] for p in parameters if p["type_hint"]] + ([returns] if returns else [])
         self.add("method" if parent else "function", node.name, parent, node, modifiers=["async"] if isinstance(node, ast.AsyncFunctionDef) else [], parameters=parameters, return_type=returns, hints=hints, docstring=self.docstring(node))
@@ -102,29 +110,62 @@ class Reader(ast.NodeVisitor):
                 self.assign(item, own)
 
 
-def read(path: str, source: str) -> Reader | None:
-    """The elements of a file; null where it can't be parsed."""
+def parts(source: str) -> Iterator[tuple[int, list[ast.stmt]]]:
+    """(lines ahead, statements) of a source with errors: it is cut where a line starts at the margin, and the longest
+    runs of such pieces that can be parsed are taken, so an error costs the statement that it is in."""
+    lines = source.split("\n")
+    starts = [i for i, x in enumerate(lines) if x[:1] not in ("", " ", "\t", "#", ")", "]", "}") and not re.match(r"(else|elif|except|finally)\b", x)]
+    edges = [*starts, len(lines)]
+    at = 0
+    while at < len(starts):
+        for end in range(min(at + LONGEST, len(starts)), at, -1):  # a string or a decorator may go on at the margin
+            try:
+                yield edges[at], ast.parse("\n".join(lines[edges[at] : edges[end]])).body
+                break
+            except (SyntaxError, ValueError):
+                continue
+        else:
+            end = at + 1
+        at = end
+
+
+def read(path: str, source: str | None) -> Reader | None:
+    """The elements of a file; of one with errors those that can be parsed; null where there are none or no text."""
+    if source is None:
+        return None
+    reader = Reader(path, source.replace("\r\n", "\n").replace("\r", "\n"))
     try:
-        reader = Reader(path, source.replace("\r\n", "\n").replace("\r", "\n"))
         reader.visit(ast.parse(reader.source))
-        return reader
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError):
+        for ahead, body in parts(reader.source):
+            for node in body:
+                reader.visit(ast.increment_lineno(node, ahead))
+        return reader if reader.elements or reader.imports else None
+    except RecursionError:
         return None
+    return reader
 
 
-def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(elements, imports) of Python files (path, raw); files that can't be parsed have neither.
+def tables(files: DataFrame, reader) -> tuple[DataFrame, DataFrame]:
+    """(elements, imports) of files (path, raw), by reader(path, raw), an object with lists of both or null.
 
-    Each file is the work of one call; partitions are as the scan made them.
+    Each file is read once: what is found is kept in one table of rows of either kind.
     """
 
-    def rows(which: str, names: list[str]):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                readers = [r for r in map(read, batch["path"], batch["raw"]) if r]
-                yield pd.DataFrame([x for r in readers for x in getattr(r, which)], columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [r for r in map(reader, *(batch.column(c).to_pylist() for c in ("path", "raw"))) if r]
+            elements, imports = ([x for r in found for x in getattr(r, which)] for which in ("elements", "imports"))
+            none = [None] * len(imports), [None] * len(elements)
+            columns = zip((elements + none[0], none[1] + imports), kinds)
+            yield pa.record_batch([pa.array(values, kind) for values, kind in columns], names=["e", "i"])
 
-        return run
+    schemas = [StructType.fromDDL(x) for x in (ELEMENTS, IMPORTS)]
+    kinds = [to_arrow_type(x) for x in schemas]
+    rows = files.select("path", "raw").mapInArrow(run, StructType([StructField("e", schemas[0]), StructField("i", schemas[1])])).persist()
+    return rows.where("e IS NOT NULL").select("e.*"), rows.where("i IS NOT NULL").select("i.*")
 
-    own = files.select("path", "raw")
-    return own.mapInPandas(rows("elements", FIELDS), ELEMENTS), own.mapInPandas(rows("imports", IMPORT_FIELDS), IMPORTS)
+
+def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(elements, imports) of Python files (path, raw); partitions are as the scan made them."""
+    return tables(files, read)

@@ -5,10 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .parse_python import ELEMENTS, FIELDS, IMPORT_FIELDS, IMPORTS, stem
+from .parse_python import FIELDS, stem, tables
 
 NAME = r"[A-Za-z_$][\w$]*"
 MODIFIERS = r"(?:export|default|declare|abstract|async|public|private|protected|static|readonly|override|get|set)"
@@ -168,15 +167,16 @@ class Reader:
             self.imports.append({"unique_id": unique, "file_path": self.path, "source": source, "name": name, "alias": alias, "import_type": kind, "definition_id": unique, "as_dependency": alias or name or source, "raw": raw, "ordinal": len(self.imports)})
 
 
-def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(elements, imports) of TypeScript files (path, raw)."""
-
-    def rows(which: str, names: list[str]):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield pd.DataFrame([x for p, t in zip(batch["path"], batch["raw"]) for x in getattr(Reader(p, t.replace("\r\n", "\n")), which)], columns=names)
+def read(path: str, source: str | None) -> Reader | None:
+    """The elements of a file; null where it has no text or can't be read, which leaves its file row."""
+    if source is None:
+        return None
+    try:
+        return Reader(path, source.replace("\r\n", "\n"))
+    except (ValueError, IndexError, AttributeError, TypeError, RecursionError):
+        return None
 
-        return run
 
-    own = files.select("path", "raw")
-    return own.mapInPandas(rows("elements", FIELDS), ELEMENTS), own.mapInPandas(rows("imports", IMPORT_FIELDS), IMPORTS)
+def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(elements, imports) of TypeScript files (path, raw)."""
+    return tables(files, read)

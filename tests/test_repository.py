@@ -6,7 +6,7 @@ import time
 import pytest
 
 from loomgraph.__main__ import main
-from loomgraph.repository import Repository
+from loomgraph.repository import CONTEXT, TARGET, Repository
 
 A = 'import os\nfrom lib.base import Base\n\nclass Node(Base):\n    """A node."""\n    size: int = 0\n\n    def grow(self, by: int):\n        return os.getpid() + by\n\ndef make(n: int):\n    return Node().grow(n)\n'
 B = "class Base:\n    kind = 1\n\n    def name(self):\n        return self.kind\n"
@@ -27,7 +27,7 @@ def test_answers(spark, root):
     known = {r.unique_id for r in repo.known_ids().collect()}
     assert {"app.Node", "app.Node.grow", "app.make", "lib.base.Base.name", "app.py", "lib"} <= known
     text = repo.context("app.make", degree=1)
-    assert text.index("[CONTEXT FILES") < text.index("def grow") < text.index("[TARGET FILE") < text.index("def make")
+    assert text.index(CONTEXT) < text.index("def grow") < text.index(TARGET) < text.index("def make")
     assert "<PACKAGE_DEPENDENCIES_START>\nimport os\n" in repo.context("app.Node.grow")
     assert "class Base" in repo.context("app.Node", degree=1)
     assert repo.context("app.make", degree=0).count("def ") == 1
