@@ -174,3 +174,21 @@ def extracted(texts: DataFrame, words: DataFrame, mapped: DataFrame | None = Non
     rank = F.when(F.col("match_type") == "exact", 0).when(F.col("match_type") == "fuzzy", 2).otherwise(1)
     order = Window.partitionBy("text_id", "word").orderBy(rank, F.col("score").desc(), "token")
     return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_word).drop("r")
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    """extracted() with its place in each text's result: exact matches by word, then parts by word, then similar ones by
+    score, ties by word."""
+    kind = F.when(F.col("match_type") == "exact", 0).when(F.col("match_type") == "fuzzy", 2).otherwise(1)
+    order = Window.partitionBy("text_id").orderBy(kind, F.when(kind == 2, -F.col("score")), "word", "token")
+    return found.withColumn("place", F.row_number().over(order))
+
+
+def nearest_paths(paths: DataFrame, known: DataFrame, cutoff: float = 0.6) -> DataFrame:
+    """(path, found, closest): validated_paths(), and for a path that is not found the most similar known one of that
+    ratio or more, ties to the first in order; null without one."""
+    rows = validated_paths(paths, known)
+    missing = rows.where("found IS NULL").select(F.col("path").alias("t"))
+    pairs = similar(missing, known.select(F.col("path").alias("w")), cutoff).withColumn("ratio", similarity("t", "w")).where(F.col("ratio") >= cutoff)
+    best = pairs.groupBy(F.col("t").alias("path")).agg(F.min(F.struct((-F.col("ratio")).alias("r"), "w"))["w"].alias("closest"))
+    return rows.join(best, "path", "left").select("path", "found", "closest")

@@ -57,6 +57,12 @@ def rendered(bucketed: DataFrame) -> DataFrame:
     return parts.withColumn("content", E.wrapped(F.col("content"), F.col("file_path")))
 
 
+def nodes(files: DataFrame, elements: DataFrame) -> DataFrame:
+    """(id, kind): files, classes and functions, each once."""
+    rows = elements.where("kind IN ('class', 'function')").select(F.col("unique_id").alias("id"), "kind")
+    return rows.unionByName(files.select(F.col("path").alias("id"), F.lit("file").alias("kind"))).distinct()
+
+
 def edges(imports: DataFrame, refs: DataFrame) -> DataFrame:
     """(edge, src, dst): inheritance and usage between elements, import from file to source; each once."""
     r = refs.where("dst_id IS NOT NULL").select(F.when(F.col("ref_type") == "inheritance", "inheritance").otherwise("usage").alias("edge"), F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))

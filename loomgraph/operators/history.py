@@ -29,6 +29,18 @@ def first_window(length: Column) -> Column:
     return F.least(length, F.floor(0.2 * length) + 1)
 
 
+def grown(turns: DataFrame, requests: DataFrame, rounds: int = 10) -> DataFrame:
+    """The turns of each conversation in its window after it has grown: requests (conv_id, round, more) says how many
+    more turns each round asks for; rounds beyond the last allowed, and those behind one that asks for none, don't
+    count.  A window never exceeds its conversation."""
+    n = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    so_far = Window.partitionBy("conv_id").orderBy("round").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = requests.where(F.col("round") <= rounds).withColumn("goes_on", F.min(F.when(F.col("more") > 0, 1).otherwise(0)).over(so_far))
+    more = asked.where("goes_on = 1").groupBy("conv_id").agg(F.sum("more").alias("more"))
+    sizes = n.join(more, "conv_id", "left").select("conv_id", F.least(F.col("n"), first_window(F.col("n")) + F.coalesce("more", F.lit(0))).alias("size"))
+    return latest(turns.join(sizes, "conv_id"), F.col("size"))
+
+
 def reordered(turns: DataFrame, is_tool: Column, keeps: Column) -> DataFrame:
     """turns with `place`: tool steps without output go; the others follow the next step that is no tool, in order."""
     rows = turns.withColumn("_tool", is_tool).where(~is_tool | keeps)

@@ -40,6 +40,24 @@ def as_dependency(alias: Column, name: Column, source: Column) -> Column:
     return F.coalesce(filled(alias), filled(name), source)
 
 
+def import_statement(source: Column, name: Column, alias: Column) -> Column:
+    """The statement that binds an import, in one form however it was written."""
+    filled = lambda c: F.when(c != "", c)
+    whole = F.concat(F.lit("import "), source)
+    some = F.concat(F.lit("from "), F.coalesce(filled(source), F.lit(".")), F.lit(" import "), filled(name))
+    return F.concat(F.coalesce(some, whole), F.coalesce(F.concat(F.lit(" as "), filled(alias)), F.lit("")))
+
+
+def is_subset(ids: Column, of: Column) -> Column:
+    """Whether all of ids are among others; none are among any."""
+    return F.size(F.array_except(ids, of)) == 0
+
+
+def common_ids(a: Column, b: Column) -> Column:
+    """The ids that both have, each once, in order."""
+    return F.array_sort(F.array_intersect(a, b))
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -32,6 +32,18 @@ def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).withColumn("start", H.first_window(F.col("n")))
 
 
+@query("""WITH n AS (SELECT conv_id, count(*)::BIGINT AS n FROM conversations GROUP BY conv_id),
+w AS (SELECT conv_id, least(n, least(n, floor(0.2::DOUBLE * n)::BIGINT + 1) + CASE conv_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 3 END) AS size FROM n)
+SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) JOIN w USING (conv_id) WHERE back <= size""")
+def history_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that grow by two rounds: of none, of two and none, of two and one turns; a third round comes too late."""
+    c = table(spark, sf_dir, "conversations")
+    amounts = [(1, F.when(F.col("conv_id") % 3 == 0, 0).otherwise(2)), (2, F.when(F.col("conv_id") % 3 == 2, 1).otherwise(0)), (3, F.lit(5))]
+    rounds = F.explode(F.array(*[F.struct(F.lit(r).alias("round"), n.alias("more")) for r, n in amounts])).alias("r")
+    requests = c.select("conv_id").distinct().select("conv_id", rounds).select("conv_id", "r.round", "r.more")
+    return H.grown(c, requests, rounds=2).select("conv_id", "turn")
+
+
 @query("""WITH k AS (SELECT conv_id, turn, role = 'user' AS tool FROM conversations WHERE role <> 'user' OR length(text) >= 100),
 h AS (SELECT *, CASE WHEN tool THEN coalesce((SELECT min(b.turn) FROM k b WHERE b.conv_id = a.conv_id AND b.turn > a.turn AND NOT b.tool), turn) ELSE turn END AS host FROM k a)
 SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY host, tool, turn)::INT AS place FROM h""")

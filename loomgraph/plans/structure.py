@@ -245,6 +245,28 @@ def edge_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.edges(imports, refs(spark, sf_dir))
 
 
+@query("SELECT path AS id, 'file' AS kind FROM files UNION SELECT unique_id, kind FROM elements WHERE kind IN ('class', 'function')")
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.nodes(files(spark, sf_dir), elements(spark, sf_dir))
+
+
+@query(f"WITH {_IMPORTS} SELECT file_path, 'from src import ' || name || CASE WHEN starts_with(file_path, 's') THEN ' as alias' ELSE '' END AS statement FROM imports")
+def import_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _imports(spark, sf_dir).select("file_path", P.import_statement(F.col("source"), F.col("name"), F.col("alias")).alias("statement"))
+
+
+@query("""WITH s AS (SELECT s_suppkey % 10 AS part, list(DISTINCT s_nationkey) AS ids FROM supplier GROUP BY 1), c AS (SELECT c_mktsegment AS segment, list(DISTINCT c_nationkey) AS ids FROM customer WHERE c_nationkey < 20 GROUP BY 1)
+SELECT part::BIGINT AS part, segment, len(list_filter(s.ids, lambda x: NOT list_contains(c.ids, x))) = 0 AS is_subset, array_to_string(list_sort(list_intersect(s.ids, c.ids)), ',') AS both FROM s, c""")
+def id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten sets of suppliers' nations against five of customers'."""
+    s = table(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") % 10).cast("long").alias("part")).agg(F.collect_set("s_nationkey").alias("a"))
+    c = table(spark, sf_dir, "customer").where("c_nationkey < 20").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.collect_set("c_nationkey").alias("b"))
+    every = c.agg(F.collect_list(F.struct("segment", "b")).alias("all"))  # five rows
+    rows = s.join(F.broadcast(every)).select("part", "a", F.explode("all").alias("c"))
+    both = F.transform(P.common_ids(F.col("a"), F.col("c.b")), lambda x: x.cast("string"))
+    return rows.select("part", "c.segment", P.is_subset(F.col("a"), F.col("c.b")).alias("is_subset"), F.array_join(both, ",").alias("both"))
+
+
 _BUCKETS = """WITH asked AS (SELECT 's' || s_suppkey AS id FROM supplier), n1 AS (SELECT DISTINCT dst_id AS id FROM refs JOIN asked ON id = src_id), n2 AS (SELECT DISTINCT dst_id AS id FROM refs JOIN n1 ON id = src_id),
 b AS (SELECT id, 'requested' AS bucket, 0 AS depth FROM asked UNION ALL SELECT id, 'class', 1 FROM n1 UNION ALL SELECT id, 'header', 2 FROM n2)"""
 

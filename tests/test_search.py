@@ -104,3 +104,46 @@ def test_text_helpers(spark):
     assert value(T.upto_docstring(F.lit('def f():\n  """d"""\n  x'), F.lit('"""d"""'))) == 'def f():\n  """d"""'
     assert value(T.is_git_url(F.lit("https://example.com/a/b.git"))) and not value(T.is_git_url(F.lit("not a url")))
     assert value(T.without_prompts(F.lit("a /run b"), ["/run "])) == "a b"
+
+
+def test_candidates_by_keys(spark):
+    """The joins on characters lose no pair that a comparison of all would find."""
+    import random
+    from difflib import SequenceMatcher
+
+    from loomgraph.operators import complete as C
+
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcde_") for _ in range(rng.randint(1, 9))) for _ in range(150)})
+    left = spark.createDataFrame([(w,) for w in words[::2]], "t string")
+    right = spark.createDataFrame([(w,) for w in words], "w string")
+    for least in (0.3, 0.6, 0.9):
+        got = {(r.t, r.w) for r in C.similar(left, right, least).collect()}
+        assert len(got) < len(words) ** 2 / 2
+        assert {(a, b) for a in words[::2] for b in words if SequenceMatcher(None, a, b).ratio() >= least} <= got
+    with pytest.raises(ValueError):
+        C.similar(left, right, 0)
+    longer, shorter = right.withColumnRenamed("w", "longer"), left.withColumnRenamed("t", "shorter")
+    got = {(r.longer, r.shorter) for r in C.containing(longer, shorter).collect()}
+    assert got == {(a, b) for a in words for b in words[::2] if len(b) > 2 and b in a}
+
+
+def test_stated_sets_are_bounded(spark, monkeypatch):
+    from loomgraph.operators import search as S
+
+    monkeypatch.setattr(S, "MOST_ASKED", 5)
+    assert S.stated(spark.range(5)).count() == 5
+    with pytest.raises(ValueError, match="more than 5"):
+        S.stated(spark.range(6))
+
+
+def test_output_order_and_nearest_paths(spark):
+    from loomgraph.operators import complete as C
+
+    rows = [(1, "b", "b", "exact", 1.0), (1, "z", "zz", "substring", 0.5), (1, "a", "a", "exact", 1.0), (1, "y", "yx", "fuzzy", 0.7), (1, "x", "xx", "fuzzy", 0.9), (1, "c", "cc", "reverse_subpath", 0.4)]
+    found = spark.createDataFrame(rows, "text_id long, word string, token string, match_type string, score double")
+    assert [r.word for r in C.in_order(found).orderBy("place").collect()] == ["a", "b", "c", "z", "x", "y"]
+    known = spark.createDataFrame([("src/app.py",), ("src/lib.py",), ("docs/readme.md",)], "path string")
+    asked = spark.createDataFrame([("src/app.py",), ("src/ap.py",), ("zzzz",)], "path string")
+    got = {r.path: (r.found, r.closest) for r in C.nearest_paths(asked, known).collect()}
+    assert got == {"src/app.py": ("src/app.py", None), "src/ap.py": (None, "src/app.py"), "zzzz": (None, None)}

@@ -197,3 +197,21 @@ def test_scan(spark, tmp_path):
     assert S.git_paths(str(tmp_path)) is None
     names = spark.createDataFrame([("Dockerfile",), ("a/docker-compose.yml",), ("x.TSX",), ("y.unknown",)], "p string")
     assert [r[0] for r in names.select(S.language(F.col("p"))).collect()] == ["container", "yaml", "typescript", None]
+
+
+def test_python_with_errors_and_stars():
+    source = 'import os\n\ndef good(a, *rest: int, **more):\n    return a\n\ndef broken(:\n    pass\n\n@dec\nclass Kept:\n    x = 1\n\nTEXT = """\nnot code(\n"""\nlast = 2\n'
+    r = parse_python.read("m.py", source)
+    assert [e["unique_id"] for e in r.elements] == ["m.good", "m.Kept", "m.Kept.x", "m.TEXT", "m.last"] and r.imports[0]["unique_id"] == "os"
+    by = {e["unique_id"]: e for e in r.elements}
+    assert by["m.Kept"]["raw"].startswith("@dec\nclass Kept") and by["m.last"]["raw"] == "last = 2"
+    assert [(p["name"], p["type_hint"]) for p in by["m.good"]["parameters"]] == [("a", None), ("*rest", "int"), ("**more", None)]
+    assert parse_python.read("m.py", None) is None and parse_typescript.read("m.ts", None) is None
+
+
+def test_hops_take_the_first_other_file(spark):
+    schema = "file_path string, source string, name string, alias string, definition_id string, unique_id string"
+    rows = [("a", "s", "n", None, "def.n", "via.n"), ("b", "s", "n", None, "def.m", "via.n"), ("c", "s", "n", None, "via.n", "x"), ("a", "s", "k", None, "via.n", "y"), ("c", "p", "q", None, "gone", "z")]
+    elements = spark.createDataFrame([("def.n", "class"), ("def.m", "class")], "unique_id string, kind string")
+    got = {(r.file_path, r.unique_id, r.definition_id) for r in R.resolve_imports(spark.createDataFrame(rows, schema), elements).collect()}
+    assert got == {("a", "via.n", "def.n"), ("b", "via.n", "def.m"), ("c", "x", "def.n"), ("a", "y", "def.m"), ("c", "p.q", None)}
