@@ -1,22 +1,24 @@
-"""Bigram language model with Katz backoff.
+"""N-gram language model with Katz backoff.
 
-Counts above 5 are taken as they are, lower ones are discounted by Good-Turing (Katz 1987).  With d the discounts,
-c counts and N the tokens of training documents,
+Counts above 5 are taken as they are, lower ones are discounted by Good-Turing (Katz 1987), by order.  With d the
+discounts, c counts, h a history of up to order - 1 words, h' the same without its first word, and N the tokens of
+training documents,
 
-    P(w | h) = d c(h, w) / c(h)   if c(h, w) > 0,   else   alpha(h) P(w),
+    P(w | h) = d c(h, w) / c(h)   if c(h, w) > 0,   else   alpha(h) P(w | h'),
     P(w)     = d c(w) / N         if c(w) > 0,      else   the mass that the unigram discounts leave,
 
-and alpha(h) = (1 - sum of d c(h, w) / c(h)) / (1 - sum of P(w)), both sums over the words seen after h, so the
-probabilities after every h sum to one.  All words that were not trained are one unknown word.  Each text ends
-with an end token, which also is what stands before the next text's first word.
+and alpha(h) = (1 - sum of d c(h, w) / c(h)) / (1 - sum of P(w | h')), both sums over the words seen after h, so the
+probabilities after every h sum to one.  After a history that was never seen, P(w | h) = P(w | h').  All words that
+were not trained are one unknown word.  Each text ends with an end token; end tokens also stand before its first word.
 
 Scale: a text never travels.  Each task cuts its documents into blocks of a few million tokens and keeps them as
 arrays of block-local word numbers.  What is shuffled is packed arrays of a block's distinct words and distinct
-bigrams, dealt by hash into buckets that hold the counts of the whole corpus (the partitioned tables of the model),
-and answers back to the blocks that asked.  A history that is in one block only is never sent.
-Each word or bigram is one entry per block however frequent; a history with more than 1/10,000 of all tokens is
-dealt by its successors instead, and only the sums of those (at most 10,000) histories are broadcast.
-Numbers of words are unique; words are told apart by 64-bit hashes.
+n-grams, dealt by hash into buckets that hold the counts of the whole corpus (the partitioned tables of the model),
+and answers back to the blocks that asked.  Each order is a round of its own, as its sums need P of the order below.
+A history that is in one block only is never sent.
+Each word or n-gram is one entry per block however frequent; a history with more than 1/10,000 of all tokens is
+dealt by its successors instead, and only the sums of those (at most 10,000 and one) histories of an order are broadcast.
+Numbers of words are unique; words, and histories of more than one word, are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -187,9 +189,9 @@ def number_words(group: pa.Table, buckets: int) -> pa.Table:
 
 
 class Block:
-    """The tokens of a block with what the corpus knows of its words, and its distinct bigrams."""
+    """The tokens of a block with what the corpus knows of its words."""
 
-    def __init__(self, rows: list[dict], tokens: int, buckets: int):
+    def __init__(self, rows: list[dict], unigrams: Unigrams, buckets: int):
         docs = next(r for r in rows if r["kind"] == DOCS)
         self.ids, self.flags, self.counts, word = expand(docs["a"], np.int64), expand(docs["b"], np.uint8), expand(docs["c"], np.int64), expand(docs["d"], np.uint32)
         n = int(word.max()) + 1
@@ -198,32 +200,114 @@ class Block:
             if r["kind"] == NUMBERS:
                 own = expand(r["a"], np.uint32, True)
                 number[own], self.c[own], alone[own] = expand(r["b"], np.int64), expand(r["c"], np.int64), expand(r["d"], bool)
-        self.word, self.row = word, np.repeat(np.arange(len(self.counts)), self.counts)
-        trains = (self.flags[self.row] & 1).astype(bool)
-        before = np.empty_like(word)
-        before[1:], before[0] = word[:-1], word[-1]  # the last token of each text is the end token
-        keys, self.pair = np.unique(before.astype(np.uint64) << np.uint64(32) | word, return_inverse=True)
-        self.h, self.w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        self.local = np.bincount(self.pair[trains], minlength=len(keys)).astype(np.int64)
+        self.unigrams, self.buckets = unigrams, buckets
+        self.word, self.row, self.number = word, np.repeat(np.arange(len(self.counts)), self.counts), number
+        self.end = word[-1]  # the last token of each text is the end token
+        self.trains = (self.flags[self.row] & 1).astype(bool)
         self.own = alone | (self.c == 0)  # no other block has, or nobody trained, these words: nothing to ask
-        self.hot = self.c > max(tokens // HOT, 1000)
-        sent = np.flatnonzero(~self.own[self.h])
-        hot = self.hot[self.h[sent]]
-        bucket = (number[self.h[sent]] + np.where(hot, number[self.w[sent]] * 7 + 1, 0)) % buckets
-        order = np.argsort(bucket * 2 + hot, kind="stable")
-        keys_, groups = grouped((bucket * 2 + hot)[order], sent[order])
+        self.frequent = max(unigrams.tokens // HOT, 1000)
+        self.p = unigrams.p(self.c)
+
+    def bigrams(self) -> Grams:
+        before = np.empty_like(self.word)
+        before[1:], before[0] = self.word[:-1], self.end
+        out = Grams(self, 2, before, self.number, self.own, self.c > self.frequent, self.number[self.end])
+        out.lower = self.p[out.w]
+        return out
+
+    def evaluated(self, rows: list[dict], learned: list[Learned]) -> Grams | None:
+        """The n-grams of the highest order learned, each order evaluated on the one below; None without any."""
+        grams = None
+        for known in learned:
+            grams = grams.longer(self) if grams else self.bigrams()
+            grams.evaluate(self, [r for r in rows if r["kind"] == TOTALS and r["stats"][0] == grams.order], known)
+        return grams
+
+
+@dataclass
+class Learned:
+    """What all blocks must know of an order: its discounts, and the sums of its very frequent histories."""
+
+    discounts: Discounts
+    histories: np.ndarray
+    sums: np.ndarray
+
+
+class Grams:
+    """The distinct n-grams of one order in a block.
+
+    h, w: history and last word of each, local; of: the n-gram at each place of the text; local: its count in the
+    block's training texts; lower: P of its last word after the history without its first word.  Per history, key:
+    its number in the corpus; own: no other block has it, or nobody trained it; hot: it is very frequent.
+    """
+
+    def __init__(self, block: Block, order: int, before: np.ndarray, key: np.ndarray, own: np.ndarray, hot: np.ndarray, start: np.int64):
+        keys, self.of = np.unique(before.astype(np.uint64) << np.uint64(32) | block.word, return_inverse=True)
+        self.h, self.w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        self.local = np.bincount(self.of[block.trains], minlength=len(keys)).astype(np.int64)
+        self.order, self.key, self.own, self.hot, self.start = order, key, own, hot, start
+        self.lower = self.total = self.alone = self.chance = np.zeros(0)
+        sent = np.flatnonzero(~own[self.h])
+        very = hot[self.h[sent]]
+        bucket = (key[self.h[sent]] + np.where(very, block.number[self.w[sent]] * 7 + 1, 0)) % block.buckets
+        order_ = np.argsort(bucket * 2 + very, kind="stable")
+        keys_, groups = grouped((bucket * 2 + very)[order_], sent[order_])
         self.sent = {(int(k) >> 1, HOT_PAIRS if k & 1 else PAIRS): v for k, v in zip(keys_, groups)}
-        self.number = number
 
-    def asks(self, block: int) -> list[tuple]:
+    def asks(self, block: Block, number: int) -> list[tuple]:
         out = []
         for (bucket, kind), own in self.sent.items():
             words, at = np.unique(self.w[own], return_inverse=True)
-            followers = squeeze(self.number[words], True), squeeze(self.c[words]), squeeze(at.astype(np.uint32))
-            out.append((kind, block, bucket, squeeze(self.number[self.h[own]], True), squeeze(self.local[own].astype(np.uint32)), *followers[:2], None, followers[2]))
+            lower = squeeze(block.c[words]) if self.order == 2 else squeeze(self.lower[own])  # P of a word follows from its count
+            out.append((kind, number, bucket, squeeze(self.key[self.h[own]], True), squeeze(self.local[own].astype(np.uint32)), squeeze(block.number[words], True), lower, None, squeeze(at.astype(np.uint32))))
         private = self.local[self.own[self.h]]
         return [*out, stats_row(0, 0, *seen_times(private))]
 
+    def evaluate(self, block: Block, rows: list[dict], known: Learned) -> None:
+        """Sets total, alone and chance (P of the last word after the history) from the answers to asks()."""
+        total, alone = self.local.copy(), np.zeros(len(self.local), bool)
+        private = self.own[self.h]
+        table = sums(self.h[private], self.local[private], self.lower[private], len(self.key))
+        for r in rows:
+            own = self.sent[r["bucket"] >> 1, HOT_PAIRS if r["bucket"] & 1 else PAIRS]
+            total[own] = expand(r["a"], np.uint32)
+            if r["b"] is not None:
+                heads = self.h[own][np.r_[True, self.h[own][1:] != self.h[own][:-1]]]
+                table[heads, : TOP + 1] = expand(r["b"], np.int64).reshape(TOP + 1, -1).T
+                table[heads, TOP + 1] = expand(r["c"], np.float64)
+            if r["d"] is not None:
+                alone[own] = expand(r["d"], bool)
+        mine = np.flatnonzero(self.hot & ~self.own)
+        if len(mine) and len(known.histories):
+            at = np.minimum(np.searchsorted(known.histories, self.key[mine]), len(known.histories) - 1)
+            found = known.histories[at] == self.key[mine]
+            table[mine[found]] = known.sums[at[found]]
+        by_count = known.discounts.by_count[1:] * np.arange(1, TOP + 1)
+        c = table[:, :TOP] @ np.arange(1.0, TOP + 1) + table[:, TOP]
+        kept = table[:, :TOP] @ by_count + table[:, TOP]
+        bare = (c > 0) & (c - kept <= 1e-9 * c)  # nothing was discounted: as if one more token had followed
+        size = np.where(bare, c + 1, np.maximum(c, 1))
+        alpha = np.where(c > 0, (1 - kept / size) / np.maximum(1 - table[:, TOP + 1], 1e-12), 1.0)
+        self.total, self.alone = total, alone
+        self.chance = np.where(total > 0, known.discounts.of(total) * total / size[self.h], alpha[self.h] * self.lower)
+
+    def longer(self, block: Block) -> Grams:
+        """The n-grams of the next order: their histories are these, and, at a text's start, end tokens alone."""
+        n, first = len(self.h), np.r_[True, block.row[1:] != block.row[:-1]]
+        before = np.where(first, n, np.r_[0, self.of[:-1]])
+        key = chained(np.r_[self.key[self.h], self.start], np.r_[block.number[self.w], block.number[block.end]])
+        own = np.r_[self.own[self.h] | block.own[self.w] | self.alone | (self.total == 0), block.own[block.end]]
+        hot = np.r_[self.total, block.c[block.end]] > block.frequent
+        out = Grams(block, self.order + 1, before, key, own, hot, key[-1])
+        out.lower = np.empty(len(out.h))
+        out.lower[out.of] = self.chance[self.of]
+        return out
+
+
+def chained(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Numbers of histories one word longer: 64-bit hashes."""
+    return common.mix(common.mix(history.view(np.uint64)) + word.view(np.uint64)).view(np.int64)
+
 
 def sums(h: np.ndarray, c: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
     """(n, TOP + 2): per history the successors seen 1 to TOP times, the tokens of those seen more, and the sum of P(w)."""
@@ -232,61 +316,68 @@ def sums(h: np.ndarray, c: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
     return np.stack([*(np.bincount(h[c == r], minlength=n) for r in range(1, TOP + 1)), np.bincount(h, np.where(c > TOP, c, 0), n), np.bincount(h, p, n)], 1).astype(float)
 
 
-def total_pairs(group: pa.Table, unigrams: Unigrams) -> pa.Table:
-    """Counts of a bucket's bigrams over all blocks and the sums of its histories, answered to each block."""
+def total_grams(group: pa.Table, unigrams: Unigrams, order: int, highest: bool) -> pa.Table:
+    """Counts of a bucket's n-grams over all blocks and the sums of its histories, answered to each block; below the
+    highest order also which n-grams no other block has."""
     rows = group.to_pylist()
     heads_of = [expand(r["a"], np.int64, True) for r in rows]
     at_of = [expand(r["e"], np.uint32) for r in rows]
     h, c = np.concatenate(heads_of), np.concatenate([expand(r["b"], np.uint32) for r in rows])
     w = np.concatenate([expand(r["c"], np.int64, True)[at] for r, at in zip(rows, at_of)])
-    cw = np.concatenate([expand(r["d"], np.int64)[at] for r, at in zip(rows, at_of)])
+    if order == 2:
+        lower = unigrams.p(np.concatenate([expand(r["d"], np.int64)[at] for r, at in zip(rows, at_of)]))
+    else:
+        lower = np.concatenate([expand(r["d"], np.float64) for r in rows])
     histories, hi = np.unique(h, return_inverse=True)
     _, wi = np.unique(w, return_inverse=True)
     keys, first, of = np.unique(hi.astype(np.uint64) << np.uint64(32) | wi.astype(np.uint64), return_index=True, return_inverse=True)
     total = np.bincount(of, c, len(keys)).astype(np.int64)
-    table = sums(hi[first], total, unigrams.p(cw[first]), len(histories))
+    table = sums(hi[first], total, lower[first], len(histories))
+    alone = None if highest else np.bincount(of, minlength=len(keys)) == 1
     hot = np.zeros(len(histories), bool)
     out, at = [stats_row(0, 0, *seen_times(total))], 0
     for r, n in zip(rows, map(len, heads_of)):
         own, mine = of[at : at + n], hi[at : at + n]
+        only = None if alone is None else squeeze(alone[own])
         if r["kind"] == HOT_PAIRS:
             hot[mine] = True
-            out.append((TOTALS, r["block"], r["bucket"] * 2 + 1, squeeze(total[own].astype(np.uint32))))
+            out.append((TOTALS, r["block"], r["bucket"] * 2 + 1, squeeze(total[own].astype(np.uint32)), None, None, only, [order]))
         else:
             heads = mine[np.r_[True, mine[1:] != mine[:-1]]]
-            out.append((TOTALS, r["block"], r["bucket"] * 2, squeeze(total[own].astype(np.uint32)), squeeze(table[heads, : TOP + 1].T.astype(np.int64).ravel()), squeeze(table[heads, TOP + 1])))
+            out.append((TOTALS, r["block"], r["bucket"] * 2, squeeze(total[own].astype(np.uint32)), squeeze(table[heads, : TOP + 1].T.astype(np.int64).ravel()), squeeze(table[heads, TOP + 1]), only, [order]))
         at += n
     if hot.any():
         out.append((HOT_SUMS, -1, -1, squeeze(histories[hot]), squeeze(table[hot].ravel())))
     return pa.table(rows_of(out), names=_NAMES)
 
 
-def block_scores(rows: list[dict], unigrams: Unigrams, pairs: Discounts, hot: tuple[np.ndarray, np.ndarray], buckets: int) -> dict[str, np.ndarray]:
-    b = Block(rows, unigrams.tokens, buckets)
-    total, p = b.local.copy(), unigrams.p(b.c)
-    private = b.own[b.h]
-    table = sums(b.h[private], b.local[private], p[b.w[private]], len(b.c))
-    for r in rows:
-        if r["kind"] == TOTALS:
-            own = b.sent[r["bucket"] >> 1, HOT_PAIRS if r["bucket"] & 1 else PAIRS]
-            total[own] = expand(r["a"], np.uint32)
-            if r["b"] is not None:
-                heads = b.h[own][np.r_[True, b.h[own][1:] != b.h[own][:-1]]]
-                table[heads, : TOP + 1] = expand(r["b"], np.int64).reshape(TOP + 1, -1).T
-                table[heads, TOP + 1] = expand(r["c"], np.float64)
-    mine = np.flatnonzero(b.hot & ~b.own)
-    if len(mine) and len(hot[0]):
-        at = np.minimum(np.searchsorted(hot[0], b.number[mine]), len(hot[0]) - 1)
-        found = hot[0][at] == b.number[mine]
-        table[mine[found]] = hot[1][at[found]]
-    c = b.c.astype(float)
-    kept = table[:, :TOP] @ (pairs.by_count[1:] * np.arange(1, TOP + 1)) + table[:, TOP]
-    bare = (c > 0) & (c - kept <= 1e-9 * c)  # nothing was discounted: as if one more token had followed
-    size = np.where(bare, c + 1, np.maximum(c, 1))
-    alpha = np.where(c > 0, (1 - kept / size) / np.maximum(1 - table[:, TOP + 1], 1e-12), 1.0)
-    chance = np.where(total > 0, pairs.of(total) * total / size[b.h], alpha[b.h] * p[b.w])
+def block_scores(rows: list[dict], unigrams: Unigrams, learned: list[Learned], buckets: int) -> dict[str, np.ndarray]:
+    b = Block(rows, unigrams, buckets)
+    grams = b.evaluated(rows, learned)
+    place, chance = (grams.of, grams.chance) if grams else (b.word, b.p)
     add = lambda values: np.bincount(b.row, values, len(b.counts))
-    return {"ids": b.ids, "flags": b.flags, "n_tokens": b.counts, "n_known": add(b.c[b.word] > 0).astype(np.int64), "base_score": add(unigrams.base(b.c)[b.word]), "score": add(np.log10(chance)[b.pair])}
+    return {"ids": b.ids, "flags": b.flags, "n_tokens": b.counts, "n_known": add(b.c[b.word] > 0).astype(np.int64), "base_score": add(unigrams.base(b.c)[b.word]), "score": add(np.log10(chance)[place])}
+
+
+def answers_of(known: DataFrame, order: int, highest: bool, unigrams: Unigrams, learned: list[Learned], buckets: int) -> DataFrame:
+    """One round of the protocol: each block asks for its n-grams of an order, the buckets that hold them answer."""
+
+    def ask(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        b = Block(rows, unigrams, buckets)
+        below = b.evaluated(rows, learned)
+        grams = below.longer(b) if below else b.bigrams()
+        return pa.table(rows_of(grams.asks(b, rows[0]["block"])), names=_NAMES)
+
+    def answer(group: pa.Table) -> pa.Table:
+        group = group.drop_columns(["deal"])
+        if group.column("kind")[0].as_py() == STATS:
+            return group
+        return total_grams(group, unigrams, order, highest)
+
+    asked = known.groupBy("block").applyInArrow(ask, ROW)
+    dealt = asked.withColumn("deal", F.when(F.col("kind") == STATS, F.col("block")).otherwise(F.col("bucket").cast("long")))
+    return common.settled(dealt.groupBy("deal").applyInArrow(answer, ROW))
 
 
 def frequent_sums(answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -310,13 +401,15 @@ def total_stats(rows: DataFrame) -> np.ndarray:
     return np.array([x or 0 for x in got], np.int64)
 
 
-def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score.
+def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, order: int = 2) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, by a model of that order.
 
     Learns from the rows that `trains` holds for (null: not).  Null and empty texts are an end token alone.  Rows
     without a doc_id are scored too.  With nothing to learn from, every token is the unknown word, of probability
     one.  No documents: no rows.  Other columns are not read.
     """
+    if order < 1:
+        raise ValueError("order must be 1 or more")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = buckets or max(12, int(size) >> 24)
@@ -324,30 +417,18 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
     words = common.settled(cutted.where(F.col("kind") == WORDS).groupBy("bucket").applyInArrow(lambda g: number_words(g, buckets), ROW))
     unigrams = Unigrams.fitted(total_stats(words))
     known = cutted.where(F.col("kind") == DOCS).unionByName(words.where(F.col("kind") == NUMBERS))
-
-    def ask(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        return pa.table(rows_of(Block(rows, unigrams.tokens, buckets).asks(rows[0]["block"])), names=_NAMES)
-
-    def asked() -> DataFrame:
-        return known.groupBy("block").applyInArrow(ask, ROW).withColumn("deal", F.when(F.col("kind") == STATS, F.col("block")).otherwise(F.col("bucket").cast("long")))
-
-    def answer(group: pa.Table) -> pa.Table:
-        group = group.drop_columns(["deal"])
-        if group.column("kind")[0].as_py() == STATS:
-            return group
-        return total_pairs(group, unigrams)
-
-    answers = common.settled(asked().groupBy("deal").applyInArrow(answer, ROW))
-    pairs = Discounts.fitted(np.r_[0, total_stats(answers)[2 : TOP + 3]].astype(float))
-    names, hot_sums = frequent_sums(answers)
+    learned: list[Learned] = []
+    for n in range(2, order + 1):
+        answers = answers_of(known, n, n == order, unigrams, learned, buckets)
+        discounts = Discounts.fitted(np.r_[0, total_stats(answers)[2 : TOP + 3]].astype(float))
+        learned = [*learned, Learned(discounts, *frequent_sums(answers))]
+        known = known.unionByName(answers.where(F.col("kind") == TOTALS))
 
     def finish(group: pa.Table) -> pa.Table:
-        s = block_scores(group.to_pylist(), unigrams, pairs, (names, hot_sums), buckets)
+        s = block_scores(group.to_pylist(), unigrams, learned, buckets)
         return pa.table({"doc_id": pa.array(s["ids"], pa.int64(), mask=(s["flags"] & 2).astype(bool)), "n_tokens": s["n_tokens"], "n_known": s["n_known"], "train_tokens": pa.array(np.full(len(s["ids"]), unigrams.tokens), pa.int64()), "base_score": s["base_score"], "score": s["score"]})
 
-    everything = known.unionByName(answers.where(F.col("kind") == TOTALS))
-    return everything.groupBy("block").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return known.groupBy("block").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -308,6 +308,60 @@ def test_katz_normalises_and_matches_brute_force(spark, docs, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def brute_katz(trained, order):
+    """(P of a word after a history, log10 probability of a text, words): plain dictionaries; texts are words, then None."""
+    disc = lambda d, n: d[n] if n <= 5 else 1.0
+    histories = lambda t, k: (tuple(([None] * k + t)[i : i + k]) for i in range(len(t)))
+    after = [defaultdict(Counter) for _ in range(order)]
+    for t in trained:
+        for k in range(order):
+            for h, w in zip(histories(t, k), t):
+                after[k][h][w] += 1
+    fitted = []
+    for k in range(order):
+        n = Counter(c for ws in after[k].values() for c in ws.values())
+        fitted.append(katz.Discounts.fitted(np.array([0] + [n[r] for r in range(1, 7)], float)).by_count)
+    total = sum(after[0][()].values())
+    left = 1 - sum(disc(fitted[0], n) * n for n in after[0][()].values()) / total
+    memo = {}
+
+    def chance(w, h):
+        if not h:
+            n = after[0][()][w]
+            return disc(fitted[0], n) * n / total if n else left
+        ws, d = after[len(h)].get(h), fitted[len(h)]
+        if not ws:
+            return chance(w, h[1:])
+        if h not in memo:
+            size, kept = sum(ws.values()), sum(disc(d, n) * n for n in ws.values())
+            size += size - kept <= 1e-9 * size
+            memo[h] = size, (1 - kept / size) / (1 - sum(chance(x, h[1:]) for x in ws))
+        size, alpha = memo[h]
+        return disc(d, ws[w]) * ws[w] / size if w in ws else alpha * chance(w, h[1:])
+
+    return chance, lambda t: sum(math.log10(chance(w, h)) for h, w in zip(histories(t, order - 1), t)), list(after[0][()])
+
+
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_katz_of_any_order_matches_brute_force(spark, docs, monkeypatch, order):
+    """Blocks that share histories, histories of one block, of held-out texts alone, and very frequent ones."""
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 5000)
+    rng = np.random.default_rng(order)
+    rows = [(r.doc_id, r.text) for r in docs.limit(150).collect()]
+    rows += [(10**6 + i, "so it is " + " ".join(f"w{x}" for x in rng.zipf(1.6, 1 + i % 6) % 40)) for i in range(2500)]
+    rows += [(2 * 10**6 + i, t) for i, t in enumerate([None, "", "  ", "so it", "it is so it is", "never seen these words", "so it is never seen"])]
+    texts = {i: WORD.findall(lower(t)) + [None] for i, t in rows}
+    trains = {i for i in texts if zlib.crc32(str(i).encode()) % 10 != 0}
+    chance, brute, words = brute_katz([texts[i] for i in sorted(trains)], order)
+    for h in [(None, None, None), ("so", "it", "is"), ("x", "so", "it")]:
+        assert sum(chance(w, h[4 - order :]) for w in [*words, "not trained"]) == pytest.approx(1)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    got = katz.score(table, F.crc32(F.col("doc_id").cast("string")) % 10 != 0, order=order).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.score == pytest.approx(brute(texts[r.doc_id]), rel=1e-9), r.doc_id
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     rows = quality.op8_quality(spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
