@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import base, history, search, structure, words  # noqa: F401  they register their queries
+from loomgraph.plans import base, generated, history, search, structure, words  # noqa: F401  they register their queries
 
 
 def queries() -> dict:
