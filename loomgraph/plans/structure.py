@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions import text as X
 from loomgraph.operators import complete as C
 from loomgraph.operators import elements as E
 from loomgraph.operators import graph as G
 from loomgraph.operators import incremental as I
 from loomgraph.operators import paths as P
 from loomgraph.operators import resolve as R
+from loomgraph.operators import search as Search
 from loomgraph.operators import tree as T
 from loomgraph.sources import files as S
 from loomgraph.sources import parse_python, parse_typescript
+from loomgraph.sources.shared import shared_dir
 
 from .base import elements, files, query, refs, table
 
@@ -126,9 +131,9 @@ def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHOWN = f"""w AS ({_WANTED}), own AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS d FROM w),
 above AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:i], '/') AS path FROM w, unnest(range(1, len(string_split(path, '/')))) AS r(i)),
 beside AS (SELECT path FROM tree WHERE node_type = 'file' AND parent IN (SELECT d FROM own))"""
-_REST = """hidden AS (SELECT path, parent FROM tree WHERE node_type = 'directory' AND path NOT IN (SELECT path FROM shown)),
-rest AS (SELECT DISTINCT parent || '/...' AS path, parent, '...' AS name, CASE WHEN parent = '.' THEN 1 ELSE len(string_split(parent, '/')) + 1 END::BIGINT AS depth, 'placeholder' AS node_type FROM hidden WHERE parent = '.' OR parent IN (SELECT path FROM shown))
-SELECT path, parent, name, depth, node_type FROM tree WHERE path IN (SELECT path FROM shown) UNION ALL SELECT * FROM rest"""
+_HIDDEN = """hidden AS (SELECT path, parent FROM tree WHERE node_type = 'directory' AND path NOT IN (SELECT path FROM shown)),
+rest AS (SELECT DISTINCT parent || '/...' AS path, parent, '...' AS name, CASE WHEN parent = '.' THEN 1 ELSE len(string_split(parent, '/')) + 1 END::BIGINT AS depth, 'placeholder' AS node_type FROM hidden WHERE parent = '.' OR parent IN (SELECT path FROM shown))"""
+_REST = _HIDDEN + "\nSELECT path, parent, name, depth, node_type FROM tree WHERE path IN (SELECT path FROM shown) UNION ALL SELECT * FROM rest"
 
 
 @query(f"WITH {_SHOWN}, shown AS (SELECT * FROM above UNION SELECT * FROM beside), {_REST}")
@@ -155,7 +160,12 @@ def tree_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.with_elements(T.build(f), rows).withColumn("depth", F.col("depth").cast("long"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SHOWN}, shown AS (SELECT * FROM above UNION SELECT * FROM beside), {_HIDDEN},
+part_tree AS (SELECT path, parent, name, node_type FROM tree WHERE path IN (SELECT path FROM shown) UNION ALL SELECT path, parent, name, node_type FROM rest),
+r AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY CASE node_type WHEN 'directory' THEN 0 WHEN 'file' THEN 1 ELSE 2 END, name, path) AS nth, count(*) OVER (PARTITION BY parent) AS n FROM part_tree),
+d AS (SELECT path, name, nth = n AS last, [nth] AS key, '' AS lead FROM r WHERE parent = '.'
+  UNION ALL SELECT r.path, r.name, r.nth = r.n, list_append(d.key, r.nth), d.lead || CASE WHEN d.last THEN '    ' ELSE '│   ' END FROM r JOIN d ON r.parent = d.path)
+SELECT '<!DOCTYPE html><html><body><pre>' || string_agg(replace(replace(lead || CASE WHEN last THEN '└── ' ELSE '├── ' END || name, '&', '&amp;'), '<', '&lt;'), chr(10) ORDER BY key) || '</pre></body></html>' AS html FROM d""")
 def tree_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.html(T.filtered(T.build(files(spark, sf_dir)), _wanted(spark, sf_dir)))
 
@@ -338,12 +348,80 @@ def parsed_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir)[1].select("file_path", "unique_id", "as_dependency", "import_type")
 
 
-@query()
+_OWN = "'src.' || n_name || '.' || "
+
+
+@query(f"""SELECT {_OWN} x.src AS src_id, CASE WHEN x.own THEN {_OWN} x.dst ELSE x.dst END AS dst_id, x.name, x.type AS ref_type FROM nation, (SELECT unnest([
+ {{'src': 'make', 'own': false, 'dst': 'os', 'name': 'os', 'type': NULL}}, {{'src': 'Node.grow', 'own': false, 'dst': 'pkg.mod.helper', 'name': 'helper', 'type': NULL}},
+ {{'src': 'Node.grow', 'own': true, 'dst': 'Node.grow', 'name': 'grow', 'type': NULL}}, {{'src': 'make', 'own': true, 'dst': 'Node.grow', 'name': 'grow', 'type': NULL}},
+ {{'src': 'make', 'own': true, 'dst': 'make', 'name': 'make', 'type': NULL}}, {{'src': 'root', 'own': true, 'dst': 'make', 'name': 'make', 'type': NULL}},
+ {{'src': 'Node', 'own': false, 'dst': 'pkg.mod.Base', 'name': 'B', 'type': 'inheritance'}}, {{'src': 'Leaf', 'own': false, 'dst': './mod.Base', 'name': 'B', 'type': 'inheritance'}},
+ {{'src': 'Leaf.grow', 'own': false, 'dst': './mod.helper', 'name': 'helper', 'type': NULL}}, {{'src': 'Leaf.grow', 'own': true, 'dst': 'Leaf.grow', 'name': 'grow', 'type': NULL}},
+ {{'src': 'leaf', 'own': true, 'dst': 'Leaf.grow', 'name': 'grow', 'type': NULL}}]) AS x)""")
 def reference_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names used once behind their definition, imports used at all, and bases; no name here is one of the hints."""
     found, imports = _parsed(spark, sf_dir)
     return R.find_references(found, imports).select("src_id", "dst_id", "name", "ref_type")
 
 
+@query(f"""SELECT {_OWN} x.id AS unique_id, x.hint AS type_hint, x.val AS value, x.ret AS return_type, x.bases, x.pars AS parameters, x.mods AS modifiers FROM nation, (SELECT unnest([
+ {{'id': 'Node', 'hint': NULL, 'val': NULL, 'ret': NULL, 'bases': 'B', 'pars': '', 'mods': ''}}, {{'id': 'Node.size', 'hint': 'int', 'val': '0', 'ret': NULL, 'bases': '', 'pars': '', 'mods': ''}},
+ {{'id': 'Node.grow', 'hint': NULL, 'val': NULL, 'ret': '"Node"', 'bases': '', 'pars': 'by:int=1', 'mods': ''}}, {{'id': 'make', 'hint': NULL, 'val': NULL, 'ret': 'Node', 'bases': '', 'pars': 'n:Node=', 'mods': ''}},
+ {{'id': 'root', 'hint': NULL, 'val': 'make(Node())', 'ret': NULL, 'bases': '', 'pars': '', 'mods': ''}},
+ {{'id': 'Leaf', 'hint': NULL, 'val': NULL, 'ret': NULL, 'bases': 'B', 'pars': '', 'mods': 'export'}}, {{'id': 'Leaf.size', 'hint': 'number', 'val': '0', 'ret': NULL, 'bases': '', 'pars': '', 'mods': ''}},
+ {{'id': 'Leaf.grow', 'hint': NULL, 'val': NULL, 'ret': 'Leaf', 'bases': '', 'pars': 'by:number=', 'mods': ''}}, {{'id': 'leaf', 'hint': NULL, 'val': NULL, 'ret': 'Leaf', 'bases': '', 'pars': 'n:Leaf=', 'mods': 'export'}}]) AS x)""")
+def parsed_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hints, values, heritage, modifiers, and parameters as name:hint=default."""
+    parameters = F.transform("parameters", lambda p: F.concat(p["name"], F.lit(":"), F.coalesce(p["type_hint"], F.lit("")), F.lit("="), F.coalesce(p["default_value"], F.lit(""))))
+    joined = lambda c: F.array_join(c, ",")
+    return _parsed(spark, sf_dir)[0].select("unique_id", "type_hint", "value", "return_type", joined("bases").alias("bases"), joined(parameters).alias("parameters"), joined("modifiers").alias("modifiers"))
+
+
+@query("SELECT doc_id, 'class D' || doc_id || ':' || chr(10) || '    \"\"\"Of ' || coalesce(lang, '?') || '.\"\"\"' AS header, true AS is_doc FROM documents")
+def docstring_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands before and in a class's docstring, of classes whose bodies are whole texts."""
+    d = table(spark, sf_dir, "documents")
+    doc = F.concat(F.lit('"""Of '), F.coalesce("lang", F.lit("?")), F.lit('."""'))
+    raw = F.concat(F.lit("class D"), F.col("doc_id").cast("string"), F.lit(":\n    "), doc, F.lit("\n"), "text")
+    return d.select("doc_id", X.upto_docstring(raw, doc).alias("header"), X.is_docstring(doc).alias("is_doc"))
+
+
+@query("""WITH t AS (SELECT doc_id, replace(replace(replace(text, chr(10), chr(13) || chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10)) || chr(10) AS t FROM documents) SELECT doc_id, t[:-2] AS text FROM t""")
+def newline_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with the line ends of another system, and one line end more, normalised."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.newlines(F.concat(F.replace("text", F.lit("\n"), F.lit("\r\n")), F.lit("\r\n"))).alias("text"))
+
+
+@query("SELECT DISTINCT kind, file_path, unique_id FROM elements WHERE kind IN ('class', 'attribute')")
+def ids_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = elements(spark, sf_dir)
+    classes, attributes = (E.ids_of(e, k).withColumn("kind", F.lit(k)) for k in ("class", "attribute"))
+    return classes.unionByName(attributes).select("kind", "file_path", "unique_id")
+
+
+@query("SELECT parent AS doc_key, parent || chr(10) || string_agg(name, chr(10) ORDER BY name) AS text FROM tree GROUP BY parent")
+def tree_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories as documents to be searched: their names and what is in them."""
+    return Search.searchable_tree(T.children(T.build(files(spark, sf_dir))))
+
+
+@query("SELECT path AS doc_key, path || chr(10) || chr(10) || p_name AS text FROM files")
+def file_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Search.searchable_files(files(spark, sf_dir).withColumn("raw", F.col("p_name")))
+
+
+@query("SELECT 'parquet' AS form, path, pos::BIGINT AS pos FROM files UNION ALL SELECT 'json', path, pos FROM files")
+def snapshot_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of files saved and loaded, in both forms."""
+    folder = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    rows = files(spark, sf_dir).select("path", F.col("pos").cast("long").alias("pos"))
+    S.save({"files": rows}, folder)
+    S.save_json(rows, f"{folder}/json")
+    loaded = {"parquet": S.load(spark, folder, ["files"])["files"], "json": S.load_json(spark, f"{folder}/json", "path string, pos long")}
+    one, other = (t.select(F.lit(form).alias("form"), "path", "pos") for form, t in loaded.items())
+    return one.unionByName(other)
+
+
 # ---------------------------------------------------------------- completion
 
 
@@ -371,7 +449,7 @@ def validate_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.validated(ids, _words(spark, sf_dir)).withColumn("matching_identifiers", F.array_join("matching_identifiers", ","))
 
 
-@query("SELECT p_type AS path, CASE WHEN p_type < 'M' THEN lower(p_type) END AS found FROM (SELECT DISTINCT './' || lower(p_type) AS p_type, p_type AS t FROM part) WHERE false UNION ALL SELECT DISTINCT './' || lower(p_type), CASE WHEN p_type < 'M' THEN lower(p_type) END FROM part")
+@query("SELECT DISTINCT './' || lower(p_type) AS path, CASE WHEN p_type < 'M' THEN lower(p_type) END AS found FROM part")
 def validate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_type").distinct()
     return C.validated_paths(p.select(F.concat(F.lit("./"), F.lower("p_type")).alias("path")), p.where("p_type < 'M'").select(F.lower("p_type").alias("path")))
