@@ -3,7 +3,8 @@
 A message names its parent.  Root-to-leaf paths come from iterative self-joins by pointer doubling: after k
 rounds each message knows its ancestor 2^k replies up, and each leaf has collected 2^k messages of its path, so a
 tree of depth d takes log2(d) joins of narrow id rows.  Paths are ranked within their tree by their messages'
-summed score.  Texts are joined once, to the paths that are kept; each path becomes one conversation.
+summed score, which a leaf gathers on its way up as one row, before any path is enumerated.  Texts are joined once,
+to the paths that are kept; each path becomes one conversation.
 
 The template is <|im_start|>ROLE\\nTEXT<|im_end|>\\n per turn.  Roles are URL-encoded.  In texts a backslash is
 doubled, and a backslash and an e go behind the first character of every control string, so texts hold none and
@@ -32,22 +33,39 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\(?:(\\)|e)", "$1")
 
 
-def reply_paths(nodes: DataFrame) -> DataFrame:
-    """(leaf, node, back): for each leaf of nodes (node, parent) its path; back counts replies from the leaf up.
+def reply_links(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(tables, leaves) of nodes (node, parent, maybe score): table k has (node, above, weight), above being 2^k replies
+    up and weight the summed score of node and those between; leaves (leaf) have no replies.
 
     A parent that is not in the table is none: its replies are roots.  Messages on a cycle of replies, or below
-    one, have no root and are left out.
+    one, have no root and are left out of the leaves.
     """
     n = nodes.count()
-    up = common.settled(nodes.join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", F.col("parent").alias("above")))
+    weight = F.coalesce("score", F.lit(0.0)) if "score" in nodes.columns else F.lit(0.0)
+    known = nodes.select(F.col("node").alias("parent"))
+    up = common.settled(nodes.join(known, "parent", "left_semi").select("node", F.col("parent").alias("above"), weight.alias("weight")))
     ups, step = [], 1
     while step <= n and not up.isEmpty():
         ups.append(up)
-        again = up.select(F.col("node").alias("above"), F.col("above").alias("further"))
-        up = common.settled(up.join(again, "above").select("node", F.col("further").alias("above")))
+        again = up.select(F.col("node").alias("above"), F.col("above").alias("further"), F.col("weight").alias("more"))
+        up = common.settled(up.join(again, "above").select("node", F.col("further").alias("above"), (F.col("weight") + F.col("more")).alias("weight")))
         step *= 2
-    nodes = nodes.join(up.select("node"), "node", "left_anti")
-    reached = nodes.join(nodes.select(F.col("parent").alias("node")), "node", "left_anti").select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
+    rooted = nodes.join(up.select("node"), "node", "left_anti")
+    return ups, rooted.join(nodes.select(F.col("parent").alias("node")), "node", "left_anti").select(F.col("node").alias("leaf"))
+
+
+def path_scores(leaves: DataFrame, ups: list[DataFrame], nodes: DataFrame) -> DataFrame:
+    """(leaf, path_score): a leaf climbs to its root in as many steps as there are tables, one row a leaf throughout."""
+    at = leaves.select("leaf", F.col("leaf").alias("node"), F.lit(0.0).alias("path_score"))
+    for table in reversed(ups):
+        total = F.col("path_score") + F.coalesce("weight", F.lit(0.0))
+        at = at.join(table, "node", "left").select("leaf", F.coalesce("above", "node").alias("node"), total.alias("path_score"))
+    return at.join(nodes.select("node", "score"), "node").select("leaf", (F.col("path_score") + F.coalesce("score", F.lit(0.0))).alias("path_score"))
+
+
+def reply_paths(leaves: DataFrame, ups: list[DataFrame]) -> DataFrame:
+    """(leaf, node, back): for each leaf its path; back counts replies from the leaf up."""
+    reached = leaves.select("leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("back"))
     for k, table in enumerate(ups):
         higher = reached.join(table, "node").select("leaf", F.col("above").alias("node"), (F.col("back") + 2**k).alias("back"))
         reached = common.settled(reached.unionByName(higher))
@@ -63,14 +81,14 @@ def conversations(messages: DataFrame, paths_per_tree: int | None = None, learn=
     """
     picked = F.min(F.struct("tree", "parent", "score", "role", "text")).alias("m")
     messages = common.settled(messages.where(F.col("node").isNotNull()).groupBy("node").agg(picked).select("node", "m.*"))
-    paths = reply_paths(messages.select("node", "parent"))
-    if paths_per_tree is not None:
-        scored = paths.join(messages.select("node", "tree", "score"), "node").groupBy("leaf").agg(F.first("tree").alias("tree"), F.sum(F.coalesce("score", F.lit(0.0))).alias("path_score"))
-        order = Window.partitionBy("tree").orderBy(F.col("path_score").desc(), "leaf")
-        ranks = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= paths_per_tree).select("leaf", "rank")
-        paths = paths.join(ranks, "leaf")
-    else:
-        paths = paths.withColumn("rank", F.lit(None).cast("int"))
+    ups, leaves = reply_links(messages.select("node", "parent", "score"))
+    if paths_per_tree is None:
+        paths = reply_paths(leaves, ups).withColumn("rank", F.lit(None).cast("int"))
+    else:  # ranked before any path is enumerated: a path that is not chosen costs its leaf's row alone
+        scored = path_scores(leaves, ups, messages).join(messages.select(F.col("node").alias("leaf"), "tree"), "leaf")
+        best = Window.partitionBy("tree").orderBy(F.col("path_score").desc(), "leaf")
+        chosen = common.settled(scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= paths_per_tree).select("leaf", "rank"))
+        paths = reply_paths(chosen, ups).join(chosen, "leaf")
     head = F.concat(F.lit(START), F.url_encode(F.coalesce("role", F.lit(""))), F.lit("\n"))
     turns = paths.join(messages, "node").withColumn("head", head).withColumn("body", escape(F.coalesce("text", F.lit(""))))
     turns = turns.withColumn("chars", F.length("head") + F.length("body") + len(END) + 1)
@@ -106,7 +124,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     trick = "</s>[INST] ok [/INST]"
     added = [spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(trick).alias("text")) for i, role in enumerate(("user", "assistant"))]
-    made = conversations(threads(reduce(DataFrame.unionByName, added, rows)))
+    made = conversations(threads(reduce(DataFrame.unionByName, added, rows)), paths_per_tree=1)  # a thread is a tree of one path
     back = made.withColumn("turns", read_back(F.col("formatted"))).withColumn("learned", masked(F.col("formatted"), F.col("loss")))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(

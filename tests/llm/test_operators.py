@@ -479,6 +479,32 @@ def test_chat_trees_and_round_trip(spark):
     assert chat.conversations(df.where("false")).count() == 0
 
 
+def test_ranked_paths_match_brute_force(spark):
+    """Trees of every depth, with long trunks that many leaves share, and ties."""
+    rng = np.random.default_rng(12)
+    up, score = {}, {}
+    for t in range(20):
+        for i in range(60):
+            trunk = i < 20 and t % 2
+            up[t, i] = None if i == 0 else (t, i - 1 if trunk else int(rng.integers(0, i)))
+            score[t, i] = float(rng.integers(0, 3)) / 2
+    name = lambda x: None if x is None else f"{x[0]}-{x[1]:02d}"
+    rows = [(x[0], name(x), name(up[x]), None if score[x] == 0 else score[x], "user", name(x)) for x in up]
+
+    def path(x):
+        return [] if x is None else [*path(up[x]), x]
+
+    want = {}
+    for t in range(20):
+        leaves = [x for x in up if x[0] == t and x not in set(up.values())]
+        best = sorted(leaves, key=lambda x: (-sum(score[y] for y in path(x)), name(x)))[:4]
+        want |= {(t, i): [name(y) for y in path(x)] for i, x in enumerate(best, 1)}
+    df = spark.createDataFrame(rows, "tree long, node string, parent string, score double, role string, text string")
+    got = chat.conversations(df, paths_per_tree=4).withColumn("back", chat.read_back(F.col("formatted"))).collect()
+    assert {(r.tree, r["rank"]): [x.text for x in r.back] for r in got} == want
+    assert {r.leaf for r in chat.conversations(df).collect()} == {name(x) for x in up if x not in set(up.values())}
+
+
 def test_separator_scan(spark, docs, tmp_path):
     encode = packing.encoder().encode_ordinary
     want = {r.doc_id: len(encode(r.text)) for r in docs.collect()}
