@@ -463,6 +463,56 @@ def extract_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.extracted(texts, words, per_word=1)
 
 
+def _odd_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word of 33 letters for each supplier, no two alike, and its form with two letters replaced."""
+    word = F.concat(F.lit("w"), F.md5("s_name"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", word.alias("word"), F.concat(F.substring(word, 1, 10), F.lit("zz"), F.substring(word, 13, 21)).alias("changed"))
+
+
+_ODD = "odd AS (SELECT s_suppkey, w AS word, w[1:10] || 'zz' || w[13:] AS changed FROM (SELECT s_suppkey, 'w' || md5(s_name) AS w FROM supplier))"
+
+
+@query(f"""WITH {_ODD} SELECT s_suppkey * 3 AS text_id, word, word AS token, 'exact' AS match_type, 1::DOUBLE AS score FROM odd
+UNION ALL SELECT s_suppkey * 3 + 1, word, word[1:20], 'substring', 20::DOUBLE / 33 FROM odd
+UNION ALL SELECT s_suppkey * 3 + 2, word, changed, 'fuzzy', 62::DOUBLE / 66 FROM odd""")
+def extract_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word in a text as it is, in part, and with two letters replaced, among all others."""
+    rows = _odd_words(spark, sf_dir)
+    said = lambda c: F.concat(F.lit("see "), c, F.lit(" now"))
+    texts = F.posexplode(F.array(said(F.col("word")), said(F.substring("word", 1, 20)), said(F.col("changed")))).alias("kind", "text")
+    texts = rows.select("s_suppkey", texts).select((F.col("s_suppkey") * 3 + F.col("kind")).alias("text_id"), "text")
+    return C.extracted(texts, rows.select("word", F.col("s_suppkey").alias("pos")))
+
+
+@query(f"WITH {_ODD} SELECT word AS code_identifier, true AS is_valid, word AS matching_identifiers FROM odd UNION ALL SELECT changed, false, word FROM odd")
+def nearest_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers that are known, and ones with two letters replaced: the most similar known one."""
+    rows = _odd_words(spark, sf_dir)
+    ids = rows.select(F.explode(F.array("word", "changed")).alias("code_identifier"))
+    got = C.validated(ids, rows.select("word", F.col("s_suppkey").alias("pos")), 1)
+    return got.select("code_identifier", "is_valid", F.array_join("matching_identifiers", ",").alias("matching_identifiers"))
+
+
+@query(f"WITH {_ODD} SELECT './lib/' || word AS path, 'lib/' || word AS found, NULL::VARCHAR AS closest FROM odd UNION ALL SELECT 'lib/' || changed, NULL, 'lib/' || word FROM odd")
+def closest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _odd_words(spark, sf_dir)
+    asked = rows.select(F.explode(F.array(F.concat(F.lit("./lib/"), "word"), F.concat(F.lit("lib/"), "changed"))).alias("path"))
+    return C.nearest_paths(asked, rows.select(F.concat(F.lit("lib/"), "word").alias("path")))
+
+
+# ---------------------------------------------------------------- files
+
+
+@query("SELECT 'src/' || n_name || '.py' AS path, 'documentation' AS language, true AS is_text, 'name = ' || n_nationkey || chr(10) || 'x' || chr(10) AS raw FROM nation")
+def files_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as files, then scanned with what else is in their folder."""
+    folder = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    n = table(spark, sf_dir, "nation")
+    S.write_texts(n.select(F.concat(F.lit("src/"), "n_name", F.lit(".py")).alias("path"), F.concat(F.lit("name = "), F.col("n_nationkey").cast("string"), F.lit("\nx")).alias("content")), folder)
+    found = S.scan(spark, folder).where(F.col("length") > 0)
+    return found.select(F.url_decode(F.url_decode(F.regexp_extract("path", "file=([^/]+)/", 1))).alias("path"), "language", "is_text", "raw")
+
+
 # ---------------------------------------------------------------- changed files
 
 
