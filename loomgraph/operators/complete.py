@@ -2,61 +2,19 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from .nearest import nearest, similar, similarity
 from .search import stated
 
 
-@F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two strings, for which there is no built-in; pairs that repeat cost once."""
-    seen: dict[tuple[str, str], float] = {}
-    out = []
-    for pair in zip(a, b):
-        if pair not in seen:
-            seen[pair] = SequenceMatcher(None, *pair).ratio() if None not in pair else None
-        out.append(seen[pair])
-    return pd.Series(out, dtype="float64")
-
-
 def may_reach(a: Column, b: Column, least: float) -> Column:
     """Whether two strings' lengths allow that ratio: it is at most 2 min / sum."""
     return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b)) - 1e-9
 
 
-def letters(text: Column) -> Column:
-    """The characters of a text with their counts so far, those that occur often first: two texts have as many of these
-    in common as characters, each counted as often as both have it."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    counted = F.transform(chars, lambda c, i: F.struct((-F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c))).alias("k"), c.alias("c")))
-    return F.transform(F.array_sort(counted), lambda x: F.concat(x["k"].cast("string"), x["c"]))
-
-
-def similar(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(t, w): the pairs of texts of left (t) and right (w) that may reach that ratio, above 0, and more than those.
-
-    The ratio is at most 2 o / (|t| + |w|), o the characters in common, so o is at least r / (2 - r) of either length.
-    Two texts whose letters are in one order and that have so many in common share one of the first |t| - o + 1 of t
-    and |w| - o + 1 of w: they meet in a join on those, and no text is compared with all others.
-    """
-    if least <= 0:
-        raise ValueError("the least ratio must be above 0")
-
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(name).distinct().withColumn(f"{name}_letters", letters(F.col(name)))
-        n = F.size(f"{name}_letters")
-        return rows.withColumn("key", F.explode(F.slice(f"{name}_letters", 1, n - F.ceil(n * (least / (2 - least)) - 1e-9).cast("int") + 1)))
-
-    both = keyed(left, "t").join(keyed(right, "w"), "key").where(may_reach(F.col("t"), F.col("w"), least))
-    shared = F.size(F.array_intersect("t_letters", "w_letters"))
-    return both.where(2 * shared >= least * (F.length("t") + F.length("w")) - 1e-9).select("t", "w").distinct()
-
-
 def containing(longer: DataFrame, shorter: DataFrame) -> DataFrame:
     """(longer, shorter): the pairs of longer (longer) and shorter (shorter), of three characters or more, that the one
     contains: they meet in a join of the shorter one's first three characters with all runs of three of the longer."""
@@ -100,6 +58,7 @@ def validated_paths(paths: DataFrame, known: DataFrame) -> DataFrame:
     """(path, found): a path as it is or normalised if it is known; null otherwise, for the caller to report."""
     from .paths import normalised
 
+    known = known.select("path").distinct()
     a, b = known.select(F.col("path"), F.col("path").alias("direct")), known.select(F.col("path").alias("norm"), F.col("path").alias("via"))
     return paths.join(a, "path", "left").withColumn("norm", normalised("path")).join(b, "norm", "left").select("path", F.coalesce("direct", "via").alias("found"))
 
@@ -188,7 +147,6 @@ def nearest_paths(paths: DataFrame, known: DataFrame, cutoff: float = 0.6) -> Da
     """(path, found, closest): validated_paths(), and for a path that is not found the most similar known one of that
     ratio or more, ties to the first in order; null without one."""
     rows = validated_paths(paths, known)
-    missing = rows.where("found IS NULL").select(F.col("path").alias("t"))
-    pairs = similar(missing, known.select(F.col("path").alias("w")), cutoff).withColumn("ratio", similarity("t", "w")).where(F.col("ratio") >= cutoff)
-    best = pairs.groupBy(F.col("t").alias("path")).agg(F.min(F.struct((-F.col("ratio")).alias("r"), "w"))["w"].alias("closest"))
+    missing = rows.where("found IS NULL AND path <> ''").select(F.col("path").alias("t"))
+    best = nearest(missing, known.select(F.col("path").alias("w")).where("path <> ''"), cutoff, 1).select(F.col("t").alias("path"), F.col("w").alias("closest"))
     return rows.join(best, "path", "left").select("path", "found", "closest")
