@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,10 +19,12 @@ def may_reach(a: Column, b: Column, least: float) -> Column:
 
 def containing(longer: DataFrame, shorter: DataFrame) -> DataFrame:
     """(longer, shorter): the pairs of longer (longer) and shorter (shorter), of three characters or more, that the one
-    contains: they meet in a join of the shorter one's first three characters with all runs of three of the longer."""
-    grams = F.transform(F.sequence(F.lit(1), F.length("longer") - 2), lambda i: F.substr("longer", i, F.lit(3)))
-    runs = longer.select("longer").distinct().where(F.length("longer") > 2).withColumn("gram", F.explode(F.array_distinct(grams)))
-    heads = shorter.select("shorter").distinct().where(F.length("shorter") > 2).withColumn("gram", F.substring("shorter", 1, 3))
+    contains: they meet in a join of the shorter one's first three characters, or first twelve if it has as many, with
+    all runs of as many of the longer."""
+    grams = lambda n: F.when(F.length("longer") >= n, F.transform(F.sequence(F.lit(1), F.length("longer") - (n - 1)), lambda i: F.substr("longer", i, F.lit(n))))
+    all_grams = F.array_distinct(F.concat(grams(3), F.coalesce(grams(12), F.array().cast("array<string>"))))
+    runs = longer.select("longer").distinct().where(F.length("longer") > 2).withColumn("gram", F.explode(all_grams))
+    heads = shorter.select("shorter").distinct().where(F.length("shorter") > 2).withColumn("gram", F.substring("shorter", 1, F.when(F.length("shorter") >= 12, 12).otherwise(3)))
     return runs.join(heads, "gram").where(F.col("longer").contains(F.col("shorter"))).select("longer", "shorter")
 
 
@@ -105,28 +109,35 @@ def extracted(texts: DataFrame, words: DataFrame, mapped: DataFrame | None = Non
     words_ = vocabulary.select("w")
     as_ = lambda df, name: df.select(F.col(df.columns[0]).alias(name))
     free = free_tokens.select("t").distinct()
-    met = similar(free, words_, threshold)
-    met = met.unionByName(containing(as_(words_, "longer"), as_(free, "shorter")).select(F.col("shorter").alias("t"), F.col("longer").alias("w")))
-    met = met.unionByName(containing(as_(free, "longer"), as_(words_, "shorter")).select(F.col("longer").alias("t"), F.col("shorter").alias("w"))).distinct()
-    pairs = free_tokens.join(met, "t").join(vocabulary, "w").where(inner | outer | may_reach(t, w, threshold))
-    pairs = pairs.join(exact.select("text_id", "word"), ["text_id", "word"], "left_anti")
+    rest = exact.select("text_id", "word")
+
+    def met(pairs: DataFrame) -> DataFrame:
+        return free_tokens.join(pairs, "t").join(vocabulary, "w").join(rest, ["text_id", "word"], "left_anti")
+
+    held = containing(as_(words_, "longer"), as_(free, "shorter")).select(F.col("shorter").alias("t"), F.col("longer").alias("w"))
+    held = held.unionByName(containing(as_(free, "longer"), as_(words_, "shorter")).select(F.col("longer").alias("t"), F.col("shorter").alias("w"))).distinct()
     kind = F.when(inner, F.when(path, "subpath").otherwise("substring")).when(outer, F.when(path, "reverse_subpath").otherwise("reverse_substring"))
     cover = F.least(F.length(t), F.length(w)) / F.greatest(F.length(t), F.length(w))
-    pairs = pairs.withColumn("kind", kind).withColumn("cover", F.when(F.col("kind").isNotNull(), cover)).withColumn("ratio", similarity("w", "t"))
-    pairs = pairs.where(F.col("kind").isNotNull() | (F.col("ratio") >= threshold))
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        out, words_used, tokens_used = [], set(), set()
-        for score, kinds in (("cover", group["kind"]), ("ratio", None)):
-            some = group[group[score].notna() & (kinds.notna() if kinds is not None else group["ratio"] >= threshold)]
-            for r in some.sort_values([score, "pos", "place"], ascending=[False, True, True]).itertuples():
-                if r.word not in words_used and r.token not in tokens_used:
-                    words_used.add(r.word)
-                    tokens_used.add(r.token)
-                    out.append((r.text_id, r.word, r.token, r.kind if kinds is not None else "fuzzy", getattr(r, score)))
-        return pd.DataFrame(out, columns=["text_id", "word", "token", "match_type", "score"])
-
-    chosen = pairs.select("text_id", "word", "token", "pos", "place", "kind", "cover", "ratio").groupBy("text_id").applyInPandas(choose, "text_id long, word string, token string, match_type string, score double")
+    parts = met(held).withColumn("kind", kind).where("kind IS NOT NULL").withColumn("score", cover)
+    ratios = similar(free, words_, threshold).withColumn("ratio", similarity("w", "t")).where(F.col("ratio") >= threshold)
+    pairs = parts.unionByName(met(ratios).withColumnRenamed("ratio", "score").withColumn("kind", F.lit("fuzzy")))
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        text, words_used, tokens_used = None, set(), set()
+        for frame in frames:
+            taken = []
+            for i, (x, word, token) in enumerate(zip(frame["text_id"], frame["word"], frame["token"])):
+                if x != text and (x == x or text == text):  # a null is one text
+                    text, words_used, tokens_used = x, set(), set()
+                if word not in words_used and token not in tokens_used:
+                    words_used.add(word)
+                    tokens_used.add(token)
+                    taken.append(i)
+            yield frame.iloc[taken][["text_id", "word", "token", "match_type", "score"]]
+
+    # The best pair of a text first; a pair of a kind that is passed over stays so as a similar one.
+    order = ["text_id", F.col("kind") == "fuzzy", F.col("score").desc(), "pos", "place", "word", "token"]
+    chosen = pairs.repartition("text_id").sortWithinPartitions(*order).select("text_id", "word", "token", F.col("kind").alias("match_type"), "score").mapInPandas(choose, "text_id long, word string, token string, match_type string, score double")
     found = exact.select("text_id", "word", "token", "match_type", "score").unionByName(chosen)
     if per_word is None:
         return found
