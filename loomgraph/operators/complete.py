@@ -43,17 +43,12 @@ def suggestions(words: DataFrame, prefixes: DataFrame, k: int = 10, case_sensiti
 def validated(ids: DataFrame, words: DataFrame, k: int = 5, cutoff: float = 0.3) -> DataFrame:
     """(code_identifier, is_valid, matching_identifiers): known identifiers; else the k most similar words.
 
-    Words that contain the identifier count even below the cutoff.  ids are a stated set against all words, of bounded
-    size.
+    Words that contain the identifier, cases aside, count even below the cutoff.  Neither side needs to be small.
     """
     known = words.select(F.col("word").alias("code_identifier")).distinct().withColumn("is_valid", F.lit(True))
     rows = ids.select("code_identifier").distinct().join(known, "code_identifier", "left").withColumn("is_valid", F.coalesce("is_valid", F.lit(False)))
-    asked = stated(rows.where("NOT is_valid").select("code_identifier"))
-    inside = F.lower("word").contains(F.lower("code_identifier"))
-    pairs = words.select("word").distinct().join(asked, inside | may_reach(F.col("word"), F.col("code_identifier"), cutoff))
-    pairs = pairs.withColumn("ratio", similarity("code_identifier", "word")).where((F.col("ratio") >= cutoff) | inside)
-    order = Window.partitionBy("code_identifier").orderBy(F.col("ratio").desc(), "word")
-    best = pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    asked = rows.where("NOT is_valid").select(F.col("code_identifier").alias("t"))
+    best = nearest(asked, words.select(F.col("word").alias("w")), cutoff, k, inside=True).select(F.col("t").alias("code_identifier"), F.col("w").alias("word"), "r")
     lists = best.groupBy("code_identifier").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]).alias("m"))
     return rows.join(lists, "code_identifier", "left").select("code_identifier", "is_valid", F.when(F.col("is_valid"), F.array("code_identifier")).otherwise(F.coalesce("m", F.array().cast("array<string>"))).alias("matching_identifiers"))
 
